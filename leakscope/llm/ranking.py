@@ -27,7 +27,7 @@ from leakscope.llm.scores import latest_scores
 from leakscope.session import broadcast_if_small, latest_rows
 
 #: Share of a group's values that is pulled in at either end, and the accuracy of the quantile sketch.
-TAIL, ACCURACY = 0.05, 10_000
+TAIL, ACCURACY = 0.1, 10_000
 
 
 @dataclass(frozen=True)
