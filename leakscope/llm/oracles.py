@@ -21,5 +21,28 @@ WHERE place <= 5
 """
 
 
+#: One row of every record, NaN as null; then all pairs across splits, compared position by position.
+RECORDS = """
+rows AS (
+  SELECT record_id, target_id, split, source, list_transform(features, lambda x: CASE WHEN isnan(x) THEN NULL ELSE x END) AS f
+  FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY ingested_at DESC) AS rn FROM records) WHERE rn = 1),
+pairs AS (
+  SELECT a.record_id AS ours, b.record_id AS theirs
+  FROM rows a JOIN rows b ON a.target_id = b.target_id AND a.split = 'train' AND b.split <> 'train' AND len(a.f) = len(b.f)
+  WHERE 8 * len(list_filter(range(1, len(a.f) + 1), lambda i:
+    NOT coalesce(abs(a.f[i] - b.f[i]) <= 0.020000001, a.f[i] IS NULL AND b.f[i] IS NULL))) <= len(a.f))
+"""
+
+P1_FOUND = f"WITH {RECORDS} SELECT least(ours, theirs) AS record_a, greatest(ours, theirs) AS record_b FROM pairs"
+
+P1_REPORT = f"""
+WITH {RECORDS},
+counted AS (SELECT theirs, count(*) AS n FROM pairs GROUP BY theirs)
+SELECT split, source, count(*) AS n_records, count(n) AS n_overlapping, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_pairs
+FROM rows LEFT JOIN counted ON record_id = theirs
+WHERE split <> 'train' AND len(f) > 0 GROUP BY split, source
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": P2_FOUND}
+    return {"p1_found": P1_FOUND, "p1_report": P1_REPORT, "p2_found": P2_FOUND}

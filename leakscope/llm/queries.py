@@ -6,12 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leakscope.llm import ranking, tokens, topn
+from leakscope.llm import mixture, overlap, ranking, shapes, tokens, topn
 from leakscope.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.found_pairs(table(spark, sf_dir, "records"))
+
+
+def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.overlap_report(table(spark, sf_dir, "records"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = topn.top_scores(table(spark, sf_dir, "member_scores"), table(spark, sf_dir, "attack_names"))
     return top.select("target_id", "attack_name", "score_id")
@@ -25,5 +33,22 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, sf_dir, "documents"))
 
 
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_mix"))[0]
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_mix"))[1]
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shapes.stuffed_pages(table(spark, sf_dir, "documents"))
+
+
+def p8_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shapes.shape_report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {"p2_found": p2_found, "p3_found": p3_found, "p6_ids": p6_ids}
+    found = (p1_found, p1_report, p2_found, p3_found, p6_ids, p7_mix, p7_report, p8_found, p8_shapes)
+    return {q.__name__: q for q in found}

@@ -206,16 +206,19 @@ def encode_corpus(df: DataFrame, id_column: str = "doc_id", text_column: str = "
     return _plain(df, id_column, text_column).mapInArrow(run, f"key {key}, ids array<int>").withColumnRenamed("key", id_column)
 
 
-def count_tokens(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", vocabulary: str = BYTE_BPE_50K) -> DataFrame:
-    """(id, n_tokens bigint) of every row, by the same words and merges without building the lists."""
+def count_tokens(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", vocabulary: str = BYTE_BPE_50K, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, kept columns, n_tokens bigint) of every row, by the same pieces and merges without building the lists."""
     shared = df.sparkSession.sparkContext.broadcast(_pairs(vocabulary))
+    plain = df.select(df[text_column].alias("text"), df[id_column].alias("key"), *[df[c].alias(f"kept_{i}") for i, c in enumerate(keep)])
+    names = [*plain.columns[1:], "n_tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared.value)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(0).to_pylist()
             for a, b in slices(texts):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(encoder.count(texts[a:b]))], names=["key", "n_tokens"])
+                kept = [batch.column(c).slice(a, b - a) for c in range(1, batch.num_columns)]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(encoder.count(texts[a:b]))], names=names)
 
-    key = df.schema[id_column].dataType.simpleString()
-    return _plain(df, id_column, text_column).mapInArrow(run, f"key {key}, n_tokens bigint").withColumnRenamed("key", id_column)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema.fields[1:])
+    return plain.mapInArrow(run, f"{schema}, n_tokens bigint").toDF(id_column, *keep, "n_tokens")
