@@ -164,5 +164,5 @@ def mixture(documents: DataFrame, mix: DataFrame, total: float | None = None, vo
     report = listed.join(F.broadcast(sums), "source", "left").fillna(0, ["n_used", "copies", "tokens"])
     whole = report.agg(F.sum("tokens").alias("whole"))
     report = report.crossJoin(F.broadcast(whole)).withColumn("actual_share", F.when(F.col("whole") > 0, F.col("tokens") / F.col("whole")).otherwise(0.0)).drop("whole")
-    reached = F.abs(F.col("actual_share") - F.col("target_share")) <= 0.005
+    reached = F.col("actual_share") >= F.col("target_share") - 0.005
     return used, report.withColumn("reached", reached)
