@@ -1,3 +1,24 @@
-"""Queries of the audit operators."""
-def queries(): return {}
-def oracle_sql(): return {}
+"""Queries of the general operators on report files, over whole tables."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from leakscope.operators import nested
+from leakscope.session import table
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nested.report_entries(table(spark, sf_dir, "report_files"))
+
+
+def queries() -> dict[str, Query]:
+    return {q.__name__: q for q in (p5_found,)}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
