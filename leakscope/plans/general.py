@@ -6,18 +6,42 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leakscope.operators import nested
+from leakscope.operators import drift, nested
 from leakscope.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _drift(spark: SparkSession, sf_dir: str) -> drift.Drift:
+    return drift.drift(*[table(spark, sf_dir, t) for t in ("report_files", "report_fields", "attack_names")])
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drift.changes(_drift(spark, sf_dir))
+
+
+def p4_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drift.version_report(_drift(spark, sf_dir))
+
+
+def p4_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drift.consistent_table(_drift(spark, sf_dir))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.report_entries(table(spark, sf_dir, "report_files"))
 
 
+def p5_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nested.report_tables(table(spark, sf_dir, "report_files"))["reports"]
+
+
+def p5_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nested.report_tables(table(spark, sf_dir, "report_files"))["instances"]
+
+
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (p5_found,)}
+    return {q.__name__: q for q in (p4_found, p4_versions, p4_table, p5_found, p5_reports, p5_instances)}
 
 
 def oracle_sql() -> dict[str, str]:
