@@ -45,10 +45,8 @@ def one_hot_candidates(records: DataFrame, feature: Column, values: list) -> Dat
 
 def substituted(features: Column, indices: list[int], values: Column) -> Column:
     """features with the columns of one feature replaced by an array of values."""
-    replaced = features
-    for k, i in enumerate(indices):
-        replaced = F.transform(replaced, lambda x, at, i=i, k=k: F.when(at == i, values[k]).otherwise(x))
-    return replaced
+    places = F.array(*map(F.lit, indices))
+    return F.transform(features, lambda x, at: F.when(F.array_contains(places, at), F.get(values, F.array_position(places, at).cast("int") - 1)).otherwise(x))
 
 
 def infer_categorical(scored: DataFrame, threshold: float = 0.0) -> DataFrame:

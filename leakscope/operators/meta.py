@@ -27,7 +27,8 @@ def repetitions(scores: DataFrame, threshold: float = SCORE_THRESHOLD) -> DataFr
         F.stddev_pop("score").alias("std"),
         F.avg((F.col("score") > threshold).cast("double")).alias("consistency"),
     )
-    return out.withColumn("vuln", F.col("mean") > threshold)
+    # 12 digits: the sum's order must not decide a mean that lies on the threshold
+    return out.withColumn("vuln", F.round("mean", 12) > threshold)
 
 
 def structural_repetitions(structural: DataFrame, k_threshold: int = K_THRESHOLD) -> DataFrame:

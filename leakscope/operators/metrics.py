@@ -125,7 +125,7 @@ def roc(running: DataFrame, keys: list[str], drop_collinear: bool = True) -> Dat
 
 
 def tpr_name(percent: float) -> str:
-    return f"tpr_at_{percent:g}"
+    return "tpr_at_" + f"{percent:g}".replace(".", "_").replace("-", "m")
 
 
 def _interpolated(fpr: Column, tpr: Column, at: Column) -> Column:

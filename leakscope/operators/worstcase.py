@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from leakscope.functions.exprs import argmax, sorted_probs
 from leakscope.operators import metrics, models, sampling
+from leakscope.session import cut_lineage
 
 
 def attack_features(records: DataFrame, sort_probs: bool = True, with_correct: bool = False) -> DataFrame:
@@ -38,7 +39,7 @@ def tuning_grid(**options: list) -> list[dict]:
 def attack(records: DataFrame, n_reps: int = 3, test_prop: float = 0.2, seed: int = 10, model: str = "RandomForestClassifier", params: dict | None = None, **features) -> DataFrame:
     """`scored` of all repetitions (keys: rep): test records of every repetition scored by its attack model."""
     rows = attack_features(records, **features)
-    folds = sampling.repeated_splits(rows, ["is_member"], test_prop, "record_id", sampling.split_seeds(seed, n_reps))
+    folds = cut_lineage(sampling.repeated_splits(rows, ["is_member"], test_prop, "record_id", sampling.split_seeds(seed, n_reps)))
     settings = params if params is not None else (models.ATTACK_FOREST if model == "RandomForestClassifier" else {})
     out = None
     for rep in range(n_reps):
@@ -47,7 +48,7 @@ def attack(records: DataFrame, n_reps: int = 3, test_prop: float = 0.2, seed: in
         part = models.score(fitted, fold.filter("in_test"), y="is_member")
         part = part.select("rep", "record_id", "is_member", F.get("probs", F.lit(0)).alias("s0"), F.get("probs", F.lit(1)).alias("s1"))
         out = part if out is None else out.unionByName(part)
-    return out
+    return cut_lineage(out)
 
 
 def tuned(records: DataFrame, grid: list[dict], metric: str = "auc", **settings) -> dict:
