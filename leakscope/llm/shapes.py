@@ -35,14 +35,16 @@ BINDING = {
     "es": "el los las lo una unos unas y o pero fue es era al con por para en sobre bajo desde hacia ante cerca junto durante sin a pesar se",
 }
 _plain = lambda w: "".join(c for c in unicodedata.normalize("NFD", w) if not unicodedata.combining(c))
-#: With and without accents, as scans have them composed, decomposed or lost.
+#: With and without accents: composed ones are kept, decomposed ones dropped, and scans lose some.
 BINDING_WORDS = sorted({v for words in BINDING.values() for w in words.split() for v in (w, _plain(w))})
 
-LINE_ENDS = r"[\r\n\u000B\u000C\u0085  ]+"
-INVISIBLE = r"[­​-‏⁠﻿]"
-WORD = r"\p{L}[\p{L}\p{M}]*"
-LINK = r"https?:|www\.|(?<![\p{L}\p{N}_])[\p{L}\p{N}_-]{3,}\.[a-z]{3,}(?![\p{L}\p{N}_.])"
-TAG, NUMBER, INITIAL, CAPITAL = r"#[\p{L}\p{N}_]", r"\d+", r"(?<!\p{L})\p{Lu}[.,](?=\s)", r"(?<!\p{L})\p{Lu}"
+LINE_ENDS = "[\\r\\n\\u000B\\u000C\\u0085\\u2028\\u2029]+"
+#: Dropped before anything else: soft hyphens, signs without width, and combining accents.
+DROPPED = "".join(map(chr, [0xAD, *range(0x200B, 0x2010), 0x2060, 0xFEFF, *range(0x300, 0x370)]))
+WORD_GAP = r"[^\p{L}]+"
+#: The patterns begin with what is rare and look back only from there.
+LINK = r"https?:|www\.|\.(?<=[\p{L}\p{N}_-]{3}\.)[a-z]{3,}(?![\p{L}\p{N}_.])"
+TAG, NUMBER, INITIAL, CAPITAL = r"#[\p{L}\p{N}_]", r"\d+", r"\p{Lu}(?<!\p{L}\p{Lu})[.,](?=\s)", r"\p{Lu}(?<!\p{L}\p{Lu})"
 SEPARATOR = r"[·|•,;/#»>*–—]|\s-\s"
 #: The end of a sentence of three words or more; possessive, so a page without any is read once.
 SENTENCE = r"\p{L}++[^\p{L}.!?]++\p{L}++[^\p{L}.!?]++\p{L}++[.!?](?=\s|$)"
@@ -60,33 +62,30 @@ def _count(text: Column, pattern: str) -> Column:
 
 
 def _words(text: Column) -> Column:
-    return F.array_remove(F.split(F.lower(F.regexp_replace(text, r"\p{M}", "")), r"[^\p{L}]+"), "")
+    return F.array_remove(F.split(F.lower(text), WORD_GAP), "")
 
 
 def line_shapes(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row of every line that is not blank: id, page_* (of the whole page, in its first line only), n_words, n_caps, n_separators, n_links, n_tags, family, shape."""
-    page = df.select(df[id_column].alias("page_id"), F.regexp_replace(df[text_column], INVISIBLE, "").alias("page_text")).filter("page_id is not null")
-    words = _words(F.col("page_text"))
-    page = page.select(
-        "page_id",
-        F.filter(F.split("page_text", LINE_ENDS), lambda x: x.rlike(r"\S")).alias("lines"),
-        _count(F.col("page_text"), SENTENCE).alias("ends"),
-        F.size(words).alias("words"),
-        F.size(F.array_distinct(words)).alias("distinct"),
-    )
-    lines = page.select("page_id", "ends", "words", "distinct", F.posexplode("lines").alias("at", "line"))
+    page = df.select(df[id_column].alias("page_id"), F.translate(df[text_column], DROPPED, "").alias("page_text")).filter("page_id is not null and page_text is not null")
+    page = page.select("page_id", _count(F.col("page_text"), SENTENCE).alias("ends"), F.filter(F.split("page_text", LINE_ENDS), lambda x: x.rlike(r"\S")).alias("lines"))
+    page = page.withColumn("line_words", F.transform("lines", _words))
+    words = F.flatten("line_words")
+    page = page.select("page_id", "ends", F.size(words).alias("words"), F.size(F.array_distinct(words)).alias("distinct"), F.arrays_zip("lines", "line_words").alias("zipped"))
+    lines = page.select("page_id", "ends", "words", "distinct", F.posexplode("zipped").alias("at", "both")).select("*", F.col("both.lines").alias("line"), F.col("both.line_words").alias("line_words"))
     line, first = F.col("line"), F.col("at") == 0
+    has = lambda sign, pattern: F.when(line.contains(sign), _count(line, pattern)).otherwise(0)
     counted = lines.select(
         "page_id",
         *[F.when(first, F.col(c)).otherwise(0).alias(f"page_{c}") for c in ("ends", "words", "distinct")],
-        _count(line, WORD).alias("n_words"),
+        F.size("line_words").alias("n_words"),
         _count(line, CAPITAL).alias("n_caps"),
         _count(line, SEPARATOR).alias("n_separators"),
-        _count(line, LINK).alias("n_links"),
-        _count(line, TAG).alias("n_tags"),
+        F.when(line.contains(".") | line.contains("http"), _count(line, LINK)).otherwise(0).alias("n_links"),
+        has("#", TAG).alias("n_tags"),
         _count(line, NUMBER).alias("n_numbers"),
         _count(line, INITIAL).alias("n_initials"),
-        F.arrays_overlap(_words(line), F.array(*map(F.lit, BINDING_WORDS))).alias("binds"),
+        F.arrays_overlap("line_words", F.array(*map(F.lit, BINDING_WORDS))).alias("binds"),
     )
     n = F.col("n_words")
     family = (
