@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leakscope.functions.exprs import ratio, safe_div
-from leakscope.functions.stats import neg_log_p, upper_p
+from leakscope.functions.stats import neg_log, upper_ps
 from leakscope.session import broadcast_if_small, cut_lineage
 
 #: Shares of outermost records, and the false-positive rates (in percent) at which the ROC is read.
@@ -105,11 +105,15 @@ def running_counts(counts: DataFrame, keys: list[str], one_window: int = ONE_WIN
     return out.join(broadcast_if_small(totals.drop("n_scores")), keys).select(*keys, "s1", "p", "n", "cum_p", "cum_n", "total_p", "total_n")
 
 
+def _area() -> Column:
+    """Aggregate: the exact area under the ROC to 8 digits."""
+    pairs = F.max("total_p").cast("double") * F.max("total_n")
+    return F.bround(F.sum(F.col("n") * (F.col("cum_p") - F.col("p") / 2.0)) / F.when(pairs > 0, pairs), 8)
+
+
 def auc(running: DataFrame, keys: list[str]) -> DataFrame:
     """Exact area under the ROC, ties counting half; null without members or non-members."""
-    area = F.sum(F.col("n") * (F.col("cum_p") - F.col("p") / 2.0))
-    pairs = F.max("total_p").cast("double") * F.max("total_n")
-    return running.groupBy(*keys).agg(F.bround(area / F.when(pairs > 0, pairs), 8).alias("auc"))
+    return running.groupBy(*keys).agg(_area().alias("auc"))
 
 
 def roc(running: DataFrame, keys: list[str], drop_collinear: bool = True) -> DataFrame:
@@ -176,9 +180,9 @@ def null_auc_variance(area: Column, n_pos: Column, n_neg: Column) -> Column:
     return spread / F.when(product > 0, product)
 
 
-def auc_p(area: Column, n_pos: Column, n_neg: Column) -> Column:
-    """p-value of an AUC above one half."""
-    return upper_p((area - 0.5) / F.sqrt(null_auc_variance(F.lit(0.5), n_pos, n_neg)))
+def auc_z(area: Column, n_pos: Column, n_neg: Column) -> Column:
+    """An AUC above one half in standard deviations under independence."""
+    return (area - 0.5) / F.sqrt(null_auc_variance(F.lit(0.5), n_pos, n_neg))
 
 
 def difference_z(fdif: Column, n_pos: Column, n_neg: Column, share: float) -> Column:
@@ -190,16 +194,44 @@ def difference_z(fdif: Column, n_pos: Column, n_neg: Column, share: float) -> Co
 
 
 def metrics(df: DataFrame, keys: list[str], p_values: bool = True) -> DataFrame:
-    """All metrics of every run in one row. p_values adds p_higher_auc and pdif columns (normal tails by Arrow)."""
+    """All metrics of every run in one row. p_values adds p_higher_auc and the pdif columns.
+
+    The input is read once and reduced to one row of each distinct score, which is written
+    down; running counts and one aggregate by run give all but the ties at the boundary of the
+    outermost records, for which the input is read again through a join with those few scores.
+    """
     keys = list(keys)
-    counts = rates(confusion(df, keys))
-    running = running_counts(score_counts(df, keys), keys)
-    out = counts
-    for part in (auc(running, keys), tpr_at_fpr(running, keys), outermost(df, running, keys)):
+    called = F.col("s1") > F.col("s0")
+    counts = df.groupBy(*keys, "s1").agg(
+        F.sum("is_member").alias("p"),
+        F.sum(1 - F.col("is_member")).alias("n"),
+        F.count_if(called & (F.col("is_member") == 1)).alias("called_p"),
+        F.count_if(called & (F.col("is_member") == 0)).alias("called_n"),
+    )
+    counts = cut_lineage(counts)
+    running = running_counts(counts.drop("called_p", "called_n"), keys)
+    size = F.col("p") + F.col("n")
+    mean = counts.groupBy(*keys).agg((F.sum(F.col("s1") * size) / F.sum(size)).alias("mean_s1"))
+    spread = counts.join(mean, keys) if keys else counts.crossJoin(mean)
+    gap = F.col("s1") - F.col("mean_s1")
+    confused = spread.groupBy(*keys).agg(
+        F.sum("called_p").alias("tp"),
+        F.sum("called_n").alias("fp"),
+        F.sum(F.col("n") - F.col("called_n")).alias("tn"),
+        F.sum(F.col("p") - F.col("called_p")).alias("fn"),
+        F.sum("p").alias("n_pos"),
+        F.sum("n").alias("n_neg"),
+        (F.sum(gap * gap * size) / F.sum(size)).alias("pred_prob_var"),
+    )
+    fpr, tpr = F.col("cum_n") / F.when(F.col("total_n") > 0, F.col("total_n")), F.col("cum_p") / F.when(F.col("total_p") > 0, F.col("total_p"))
+    curve = running.groupBy(*keys).agg(_area().alias("auc"), *[_interpolated(fpr, tpr, F.lit(p / 100)).alias(tpr_name(p)) for p in FPR_PERCENT])
+    out = rates(confused)
+    for part in (curve, outermost(df, running, keys)):
         out = out.join(part, keys, "left") if keys else out.crossJoin(part)
     if p_values:
-        out = out.withColumn("p_higher_auc", auc_p(F.col("auc"), F.col("n_pos"), F.col("n_neg")))
-        out = out.withColumns({f"pdif{s}": neg_log_p(difference_z(F.col(f"fdif{s}"), F.col("n_pos"), F.col("n_neg"), x)) for s, x in SHARES.items()})
+        n = F.col("n_pos"), F.col("n_neg")
+        out = out.withColumn("tails", upper_ps(auc_z(F.col("auc"), *n), *[difference_z(F.col(f"fdif{s}"), *n, x) for s, x in SHARES.items()]))
+        out = out.withColumns({"p_higher_auc": F.col("tails")[0], **{f"pdif{s}": neg_log(F.col("tails")[i + 1]) for i, s in enumerate(SHARES)}}).drop("tails")
     return out
 
 

@@ -184,14 +184,42 @@ def m_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.metrics(frames.audit_orders(spark, sf_dir), KEY)
 
 
-@query()
+def _pdif_sql() -> str:
+    out = []
+    for name, x in metrics.SHARES.items():
+        difference = f"(avg(is_member) FILTER (down <= ceil(whole * {x!r})) - avg(is_member) FILTER (up <= ceil(whole * {x!r})))"
+        out.append(f"{difference} / sqrt(2 * avg(is_member) * (1 - avg(is_member)) / ceil(max(whole) * {x!r})) AS z{name}")
+    return ", ".join(out)
+
+
+_PDIF = "round(CASE WHEN 1 - {cdf} < 1e-50 THEN 115.13 ELSE -ln(1 - {cdf}) END, 4) AS pdif{name}"
+
+
+@query(
+    "WITH placed AS (SELECT *, row_number() OVER (PARTITION BY instance ORDER BY s1 DESC, record_id DESC) AS down,"
+    " row_number() OVER (PARTITION BY instance ORDER BY s1, record_id) AS up, count(*) OVER (PARTITION BY instance) AS whole FROM audit_events),"
+    " z AS (SELECT instance, " + _pdif_sql() + " FROM placed GROUP BY instance) SELECT instance, "
+    + ", ".join(_PDIF.format(cdf=frames.normal_cdf_sql(f"z{s}"), name=s) for s in metrics.SHARES)
+    + " FROM z",
+    ("audit_events",),
+)
 def m_pdif(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.metrics(frames.audit_events(spark, sf_dir), ["instance"]).select("instance", "pdif01", "pdif02", "pdif001")
+    return rounded(metrics.metrics(frames.audit_events(spark, sf_dir), ["instance"]).select("instance", "pdif01", "pdif02", "pdif001"), 4)
 
 
-@query()
+@query(
+    "WITH"
+    + RUNNING_SQL.format(**EVENTS)
+    + """,
+areas AS (SELECT instance, round_even(sum(n * (cum_p - p / 2)) / (max(total_p) * max(total_n)), 8) AS auc, CAST(max(total_p) AS DOUBLE) AS np, CAST(max(total_n) AS DOUBLE) AS nn FROM running GROUP BY instance),
+z AS (SELECT instance, auc, (auc - 0.5) / sqrt((0.25 + (np - 1 + nn - 1) * (1 / 3 - 0.25)) / (np * nn)) AS z FROM areas)
+SELECT instance, round(auc, 6) AS auc, round(1 - """
+    + frames.normal_cdf_sql("z")
+    + ", 6) AS p_higher_auc FROM z",
+    ("audit_events",),
+)
 def m_auc_p(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.metrics(frames.audit_events(spark, sf_dir), ["instance"]).select("instance", "auc", "p_higher_auc")
+    return rounded(metrics.metrics(frames.audit_events(spark, sf_dir), ["instance"]).select("instance", "auc", "p_higher_auc"))
 
 
 MEMBER_SQL = """
@@ -336,19 +364,27 @@ def g_dof_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structural.dof_risk(frames.audit_orders(spark, sf_dir).filter("is_member = 1"), F.lit(7400))
 
 
-@query(
+_KS_SQL = (
     "WITH counts AS (SELECT instance, s1, sum(is_member) AS p, sum(1 - is_member) AS n FROM audit_events GROUP BY instance, s1),"
-    " upto AS (SELECT instance, sum(p) OVER w AS up, sum(n) OVER w AS un, sum(p) OVER (PARTITION BY instance) AS tp, sum(n) OVER (PARTITION BY instance) AS tn FROM counts WINDOW w AS (PARTITION BY instance ORDER BY s1))"
-    " SELECT instance, round(max(abs(up / tp - un / tn)), 6) AS ks_stat, CAST(max(tp) AS BIGINT) AS n_train, CAST(max(tn) AS BIGINT) AS n_test FROM upto GROUP BY instance",
-    ("audit_events",),
+    " upto AS (SELECT instance, sum(p) OVER w AS up, sum(n) OVER w AS un, sum(p) OVER (PARTITION BY instance) AS tp, sum(n) OVER (PARTITION BY instance) AS tn FROM counts WINDOW w AS (PARTITION BY instance ORDER BY s1)),"
+    " stats AS (SELECT instance, max(abs(up / tp - un / tn)) AS ks_stat, CAST(max(tp) AS BIGINT) AS n_train, CAST(max(tn) AS BIGINT) AS n_test FROM upto GROUP BY instance) "
 )
+
+
+@query(_KS_SQL + "SELECT instance, round(ks_stat, 6) AS ks_stat, n_train, n_test FROM stats", ("audit_events",))
 def g_ks_stat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(structural.ks_statistic(frames.audit_events(spark, sf_dir), "s1", ["instance"]))
 
 
-@query()
+@query(
+    _KS_SQL.rstrip()
+    + ", scaled AS (SELECT *, sqrt(CAST(n_train AS DOUBLE) * n_test / (n_train + n_test)) * ks_stat AS t FROM stats),"
+    " tails AS (SELECT *, CASE WHEN t < 0.2 THEN 1 ELSE greatest(0, least(1, list_sum(list_transform(range(1, 101), lambda k: CASE WHEN k % 2 = 1 THEN 2 ELSE -2 END * exp(-2.0 * k * k * t * t))))) END AS p FROM scaled)"
+    " SELECT instance, round(ks_stat, 6) AS ks_stat, n_train, n_test, round(p, 6) AS ks_p, p < 0.05 AS ks_risk FROM tails",
+    ("audit_events",),
+)
 def ks_p(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return structural.ks_test(frames.audit_events(spark, sf_dir), "s1", ["instance"])
+    return rounded(structural.ks_test(frames.audit_events(spark, sf_dir), "s1", ["instance"]))
 
 
 _UNSET = "CASE WHEN max_depth = 0 THEN {d} ELSE max_depth END AS max_depth"
@@ -432,9 +468,13 @@ def lira_online_carlini(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_lira(spark, sf_dir, "online-carlini").select("record_id", "s0", "s1"), 5)
 
 
-@query()
+@query(
+    "SELECT record_id, is_member, round(1 - " + frames.normal_cdf_sql(_Z.format(m="out_mean", s="out_std")) + ", 6) AS s0, round(" + frames.normal_cdf_sql(_Z.format(m="out_mean", s="out_std"))
+    + ", 6) AS s1 FROM lira_targets JOIN lira_stats USING (record_id)",
+    ("shadow_events",),
+)
 def lira_offline_cdf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lira(spark, sf_dir, "offline").select("record_id", "is_member", "s0", "s1")
+    return rounded(_lira(spark, sf_dir, "offline").select("record_id", "is_member", "s0", "s1"))
 
 
 @query()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leakscope.functions import stats
 from leakscope.functions.exprs import softmax
 from leakscope.operators import metrics
 from leakscope.session import table
@@ -39,6 +40,26 @@ lira_stats AS (
 }
 
 
+def normal_cdf_sql(z: str) -> str:
+    """The normal distribution function as SQL, by the same approximations."""
+
+    def horner(coefficients: list[float], x: str) -> str:
+        out = repr(coefficients[0])
+        for c in coefficients[1:]:
+            out = f"({out} * {x} + {c!r})"
+        return out.replace(f"{coefficients[0]!r} *", f"CAST({coefficients[0]!r} AS DOUBLE) *", 1)
+
+    x = f"(-({z}) / {2**0.5!r})"
+    y = f"abs({x})"
+    inverse, grid = f"(1 / ({y} * {y}))", f"(floor({y} * 16) / 16)"
+    decay = f"(exp(-{grid} * {grid}) * exp(-({y} - {grid}) * ({y} + {grid})))"
+    middle = f"{decay} * {horner(stats.MIDDLE[0], y)} / {horner(stats.MIDDLE[1], y)}"
+    tail = f"{decay} * ({stats.ROOT_PI!r} - {inverse} * {horner(stats.TAIL[0], inverse)} / {horner(stats.TAIL[1], inverse)}) / {y}"
+    near = f"1 - {x} * {horner(stats.NEAR[0], f'({x} * {x})')} / {horner(stats.NEAR[1], f'({x} * {x})')}"
+    outer = f"(CASE WHEN {y} <= {stats.MIDDLE_END} THEN {middle} ELSE {tail} END)"
+    return f"(0.5 * CASE WHEN {y} <= {stats.NEAR_END} THEN {near} WHEN {x} < 0 THEN 2 - {outer} ELSE {outer} END)"
+
+
 def audit_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     s1 = F.round((F.col("o_totalprice") % 1000) / 1000, 6)
     return metrics.scored(table(spark, sf_dir, "orders").withColumn("priority", F.col("o_orderpriority")), ["priority"], "o_orderkey", F.col("o_orderkey") % 2, 1 - s1, s1)

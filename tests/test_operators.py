@@ -39,7 +39,9 @@ def test_expressions(spark):
 
 def test_normal_tails_and_normality(spark):
     assert one(spark, stats.normal_cdf(F.col("p")), p=1.959963985) == pytest.approx(0.975, abs=1e-9)
-    assert one(spark, stats.neg_log_p(F.col("p")), p=40.0) == pytest.approx(115.13)
+    for z in (-7.5, -3.0, -0.3, 0.0, 0.2, 1.0, 5.5, 9.0):
+        assert one(spark, stats.normal_cdf(F.col("p")), p=z) == pytest.approx(0.5 * math.erfc(-z / math.sqrt(2)), rel=1e-14)
+    assert one(spark, stats.neg_log(stats.upper_ps(F.col("p"))[0]), p=40.0) == pytest.approx(115.13)
     rng = np.random.default_rng(1)
     assert stats.shapiro_p(rng.normal(size=50)) > 0.05 and stats.shapiro_p(rng.exponential(size=50)) < 0.01
     assert math.isnan(stats.shapiro_p(np.ones(20))) and math.isnan(stats.shapiro_p(rng.normal(size=7)))
