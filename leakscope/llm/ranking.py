@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leakscope.llm.scores import latest_scores
-from leakscope.session import broadcast_if_small, latest_rows
+from leakscope.session import broadcast_if_small, cut_lineage, latest_rows
 
 #: Share of a group's values that is pulled in at either end, and the accuracy of the quantile sketch.
 TAIL, ACCURACY = 0.1, 10_000
@@ -125,4 +125,5 @@ def audit_frame(scores: DataFrame, names: DataFrame, structural: DataFrame, requ
 
 def exposed_records(scores: DataFrame, names: DataFrame, structural: DataFrame, requests: DataFrame) -> DataFrame:
     """(target_id, record_id, closeness, place): the first top_n records of every requested target."""
-    return ranked(audit_frame(scores, names, structural, requests), "target_id", "record_id", AUDIT_SCORES, limit="top_n")
+    frame = cut_lineage(audit_frame(scores, names, structural, requests))  # a row of a requested record; read by four aggregates
+    return ranked(frame, "target_id", "record_id", AUDIT_SCORES, limit="top_n")
