@@ -87,11 +87,16 @@ def closeness(df: DataFrame, group: str, scores: list[Score], tail: float = TAIL
 
 
 def ranked(df: DataFrame, group: str, item: str, scores: list[Score], limit: str | None = None, tail: float = TAIL) -> DataFrame:
-    """(group, item, closeness, place) in one order per group; with limit, only the first rows of that column's number."""
+    """(group, item, closeness, place) in one order per group; with limit, only the first rows of that column's number.
+
+    The largest limit is read first and stated in the filter, so the optimiser prunes every
+    group to that many rows before and after the shuffle.
+    """
     order = Window.partitionBy(group).orderBy(F.col("closeness").desc(), F.col(item))
     out = closeness(df, group, scores, tail).withColumn("place", F.row_number().over(order))
     if limit:
-        out = out.filter(F.col("place") <= F.col(limit))
+        most = df.agg(F.max(limit)).first()[0] or 0
+        out = out.filter(F.col("place") <= most).filter(F.col("place") <= F.col(limit))
     return out.select(group, item, "closeness", "place")
 
 
