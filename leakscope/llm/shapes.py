@@ -8,8 +8,8 @@ are no sentences; sentence, name and number lines are what articles, verse,
 advertisements and tables of prices, ships, results or contents consist of. A
 page is flagged if the first three families hold most of its words, unless it
 ends sentence after sentence without repeating its words (short worded adverts
-do), or if they hold a good part of a page that has no sentence ends at all and
-keeps repeating its words.
+do), or if they hold a good part of a page that hardly ends a sentence and keeps
+repeating its words.
 
 All of it is built-in column functions. Lines are summed up per page in the task
 that read them, so one short row of a page is shuffled, whatever its length.
@@ -31,7 +31,7 @@ BINDING = {
     "en": "a an the at in on by for to and or but was were is are be been with from near its their his her since although while that which who you your no our",
     "de": "der die das den dem ein eine einen einem einer und oder aber war wurde ist am an im in zu zum zur von vor mit nach bei beim aus auf für der über unter "
     "seit während sodass worauf nahe trotz gegen ohne werden wird sich gesucht verkaufen bis als",
-    "fr": "le la les l un une et ou mais fut est était à au aux en dans sur sous par pour avec malgré depuis vers près qui que se sans pendant",
+    "fr": "le la les l un une et ou mais fut est était au aux en dans sur sous par pour avec malgré depuis vers près qui que se sans pendant",
     "es": "el los las lo una unos unas y o pero fue es era al con por para en sobre bajo desde hacia ante cerca junto durante sin a pesar se",
 }
 _plain = lambda w: "".join(c for c in unicodedata.normalize("NFD", w) if not unicodedata.combining(c))
@@ -46,13 +46,13 @@ WORD_GAP = r"[^\p{L}]+"
 LINK = r"https?:|www\.|\.(?<=[\p{L}\p{N}_-]{3}\.)[a-z]{3,}(?![\p{L}\p{N}_.])"
 TAG, NUMBER, INITIAL, CAPITAL = r"#[\p{L}\p{N}_]", r"\d+", r"\p{Lu}(?<!\p{L}\p{Lu})[.,](?=\s)", r"\p{Lu}(?<!\p{L}\p{Lu})"
 SEPARATOR = r"[·|•,;/#»>*–—]|\s-\s"
-#: The end of a sentence of three words or more; possessive, so a page without any is read once.
-SENTENCE = r"\p{L}++[^\p{L}.!?]++\p{L}++[^\p{L}.!?]++\p{L}++[.!?](?=\s|$)"
+#: The end of a sentence of three words or more, perhaps with a remark in brackets; possessive, so a page without any is read once.
+SENTENCE = r"\p{L}++[^\p{L}.!?]++\p{L}++[^\p{L}.!?]++\p{L}++(?:\s*+\([^()]{1,40}+\))?+[.!?](?=\s|$)"
 
-#: Share of words in lines without sentences that makes a page a case; share that does if the page has no sentences at all.
+#: Share of words in lines without sentences that makes a page a case; share that does if the page has hardly any sentences.
 MOSTLY, PARTLY = 0.5, 0.3
-#: Sentence ends per line from which a page has sentences, below which it has none, and shares of distinct words.
-MANY_ENDS, NO_ENDS, FEW_WORDS, REPEATING = 0.2, 0.05, 0.45, 0.5
+#: Sentence ends per line from which a page has sentences, below which it has hardly any, and shares of distinct words.
+MANY_ENDS, FEW_ENDS, FEW_WORDS, REPEATING = 0.2, 0.1, 0.45, 0.5
 
 FAMILIES = ("link", "tag", "loose", "name", "number", "sentence", "blank")
 
@@ -120,7 +120,7 @@ def page_shapes(df: DataFrame, id_column: str = "doc_id", text_column: str = "te
     )
     worded = (F.col("ends_per_line") > MANY_ENDS) & (F.col("distinct_share") > FEW_WORDS)
     mostly = (F.col("loose_share") >= MOSTLY) & ~worded
-    partly = (F.col("loose_share") >= PARTLY) & (F.col("ends_per_line") < NO_ENDS) & (F.col("distinct_share") < REPEATING)
+    partly = (F.col("loose_share") >= PARTLY) & (F.col("ends_per_line") < FEW_ENDS) & (F.col("distinct_share") < REPEATING)
     most = F.greatest(*[F.col(f"words_{f}") for f in FAMILIES])
     main = F.coalesce(*[F.when(F.col(f"words_{f}") == most, F.lit(f)) for f in FAMILIES])
     return page.withColumns({"main_family": main, "flagged": mostly | partly})
