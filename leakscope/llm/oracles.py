@@ -44,5 +44,40 @@ WHERE split <> 'train' AND len(f) > 0 GROUP BY split, source
 """
 
 
+#: Order statistics as bounds, then the same closeness score by score in long form.
+P3_FOUND = f"""
+WITH {LATEST},
+wanted AS (SELECT target_id, max(top_n) AS top_n FROM rank_requests GROUP BY target_id),
+means AS (
+  SELECT target_id, record_id, avg(member_prob) FILTER (attack_name = 'LiRA Attack') AS lira, avg(member_prob) FILTER (attack_name = 'QMIA Attack') AS qmia
+  FROM named WHERE attack_name IN ('LiRA Attack', 'QMIA Attack') GROUP BY target_id, record_id),
+state AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY target_id, record_id ORDER BY ingested_at DESC) AS rn FROM structural_records) WHERE rn = 1),
+complete AS (
+  SELECT w.target_id, w.top_n, m.record_id, m.lira, m.qmia, -s.k_anonymity AS k, CAST(s.smallgroup_risk AS INTEGER) AS g
+  FROM wanted w JOIN means m ON m.target_id = w.target_id JOIN state s ON s.target_id = m.target_id AND s.record_id = m.record_id
+  WHERE m.lira IS NOT NULL AND m.qmia IS NOT NULL AND s.k_anonymity IS NOT NULL AND s.smallgroup_risk IS NOT NULL),
+says AS (
+  SELECT target_id, record_id, top_n, 'lira' AS score, CAST(lira AS DOUBLE) AS v FROM complete UNION ALL
+  SELECT target_id, record_id, top_n, 'qmia', CAST(qmia AS DOUBLE) FROM complete UNION ALL
+  SELECT target_id, record_id, top_n, 'k', CAST(k AS DOUBLE) FROM complete UNION ALL
+  SELECT target_id, record_id, top_n, 'g', CAST(g AS DOUBLE) FROM complete),
+placed AS (SELECT *, row_number() OVER (PARTITION BY target_id, score ORDER BY v) AS r, count(*) OVER (PARTITION BY target_id, score) AS n FROM says),
+cuts AS (
+  SELECT target_id, score, max(v) FILTER (r = greatest(1, ceil(0.1 * n))) AS low, max(v) FILTER (r = greatest(1, ceil(0.9 * n))) AS high FROM placed GROUP BY target_id, score),
+held AS (
+  SELECT p.target_id, p.record_id, p.top_n, p.score, CASE WHEN p.score = 'g' THEN p.v ELSE greatest(c.low, least(c.high, p.v)) END AS v
+  FROM placed p JOIN cuts c ON c.target_id = p.target_id AND c.score = p.score),
+shape AS (SELECT target_id, score, stddev_pop(v) * sqrt(count(*)) AS size, min(v) AS worst, max(v) AS best FROM held GROUP BY target_id, score),
+far AS (
+  SELECT h.target_id, h.record_id, h.top_n, sqrt(sum(CASE WHEN s.size > 1e-12 THEN power((h.v - s.best) / s.size, 2) ELSE 0 END)) AS from_best,
+    sqrt(sum(CASE WHEN s.size > 1e-12 THEN power((h.v - s.worst) / s.size, 2) ELSE 0 END)) AS from_worst
+  FROM held h JOIN shape s ON s.target_id = h.target_id AND s.score = h.score GROUP BY h.target_id, h.record_id, h.top_n),
+ordered AS (
+  SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY round(CASE WHEN from_best + from_worst > 0 THEN from_worst / (from_best + from_worst) ELSE 0.5 END, 12) DESC, record_id) AS place FROM far)
+SELECT target_id, record_id FROM ordered WHERE place <= top_n
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND, "p1_report": P1_REPORT, "p2_found": P2_FOUND}
+    return {"p1_found": P1_FOUND, "p1_report": P1_REPORT, "p2_found": P2_FOUND, "p3_found": P3_FOUND}
