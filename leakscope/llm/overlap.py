@@ -136,7 +136,7 @@ def _common(a: str, b: str) -> int:
     return size // 2
 
 
-def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _walk(batches: Iterator[pa.RecordBatch], run_pairs: int) -> Iterator[pa.RecordBatch]:
     """Go through sorted suffixes; emit shared spans of small runs, and the members of large ones with one side null."""
     names = [f.split()[0] for f in _SHARED.split(", ")]
     kinds = [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32()]
@@ -157,7 +157,7 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def too_large(run: list[list]) -> bool:
         ours = sum(run[5])
-        return ours * (len(run[5]) - ours) > RUN_PAIRS or len(run[5]) > RUN_PAIRS
+        return ours * (len(run[5]) - ours) > run_pairs or len(run[5]) > run_pairs
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
@@ -209,7 +209,8 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def shared_spans(index: DataFrame) -> DataFrame:
     """Partition and sort the suffixes, and walk the sorted array of every partition."""
     ordered = index.repartition("bucket").sortWithinPartitions("bucket", "suffix", "class_id", "is_train")
-    return ordered.mapInArrow(_walk, _SHARED)
+    limit = RUN_PAIRS
+    return ordered.mapInArrow(lambda batches: _walk(batches, limit), _SHARED)
 
 
 def _covered(spans: Column) -> Column:
