@@ -17,7 +17,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leakscope.functions.exprs import argmax, class_prob, logit, loss
-from leakscope.operators.structural import tree_parameters
 
 #: Estimators by name, with the columns they read.
 REGISTRY: dict[str, Callable[..., Estimator]] = {
@@ -170,5 +169,3 @@ class PrivateSVM:
         p = 1 / (1 + F.exp(-(self.slope * F.col("margin") + self.offset)))
         return rows.withColumn("probs", F.array(1 - p, p)).withColumn("prediction", (p > 0.5).cast("int")).select(*[c for c in df.columns if c not in ("probs", "prediction")], "probs", "prediction")
 
-
-__all__ = ["PrivateSVM", "estimator", "fit", "fourier_features", "leaves", "losses", "parameter_count", "remap_classes", "score", "shadow_confidences", "tree_parameters"]

@@ -139,7 +139,7 @@ def flatten(documents: DataFrame, keys: list[str], column: str = "document", sch
     level = documents.select(*keys, root_key.alias("row_key"), F.from_json(column, schema.spark_type(), {"mode": "PERMISSIVE"}).alias("node"))
     level = level.filter("node is not null")
 
-    def open_objects(df: DataFrame, kept: list[str], node: T.StructType, prefix: list[str]) -> tuple[DataFrame, dict[tuple[str, ...], str]]:
+    def open_objects(df: DataFrame, kept: list[str], node: T.StructType) -> tuple[DataFrame, dict[tuple[str, ...], str]]:
         """Expand a struct column "node" by position into columns; inner structs too. Returns the columns by path."""
         pending, places = [("node", node, ())], {}
         while pending:
@@ -156,16 +156,13 @@ def flatten(documents: DataFrame, keys: list[str], column: str = "document", sch
 
     def explode(df: DataFrame, kept: list[str], node: T.DataType, path: str) -> None:
         if isinstance(node, T.StructType):
-            df, places = open_objects(df, kept, node, [])
+            df, places = open_objects(df, kept, node)
         else:
             df, places = df.withColumnRenamed("node", "value"), {("value",): "value"}
         kinds = {f.name: f.dataType for f in df.schema.fields}
         arrays = {p: c for p, c in places.items() if isinstance(kinds[c], T.ArrayType)}
         tables[path] = df.drop(*arrays.values())
-        taken = {}
-        for wanted in carry.get(path, []):
-            if (wanted,) in places:
-                taken[wanted] = places[(wanted,)]
+        taken = {wanted: places[(wanted,)] for wanted in carry.get(path, []) if (wanted,) in places}
         below = [k for k in kept if k not in ("parent_key", "ordinal", "row_key")]
         for place, name in arrays.items():
             carried = [F.col(c).cast("bigint").alias(w) if kinds[c] == T.DoubleType() else F.col(c).alias(w) for w, c in taken.items()]

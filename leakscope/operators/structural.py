@@ -97,7 +97,7 @@ def ks_statistic(df: DataFrame, value: str, keys: list[str] | None = None) -> Da
 
 
 def ks_test(df: DataFrame, value: str, keys: list[str] | None = None, alpha: float = ALPHA) -> DataFrame:
-    """ks_statistic with its asymptotic p-value and lowvals_cd-style risk p < alpha."""
+    """ks_statistic with its asymptotic p-value, and whether that is below alpha."""
     out = ks_statistic(df, value, keys).withColumn("ks_p", kolmogorov_p(F.col("ks_stat"), F.col("n_train").cast("double"), F.col("n_test").cast("double")))
     return out.withColumn("ks_risk", F.col("ks_p") < alpha)
 
