@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leakscope.functions.exprs import argmax, linspace
-from leakscope.operators import models
+from leakscope.operators import models, trees
+from leakscope.session import broadcast_if_small
 
 #: Distinct values of a categorical feature beyond which the sweep is refused.
 MAX_VALUES = 10_000
@@ -49,19 +50,20 @@ def substituted(features: Column, indices: list[int], values: Column) -> Column:
     return F.transform(features, lambda x, at: F.when(F.array_contains(places, at), F.get(values, F.array_position(places, at).cast("int") - 1)).otherwise(x))
 
 
-def infer_categorical(scored: DataFrame, threshold: float = 0.0) -> DataFrame:
+def infer_categorical(scored: DataFrame, threshold: float = 0.0, keys: list[str] | None = None) -> DataFrame:
     """Per record from candidate scores (record_id, is_member, label, candidate, actual, probs): inferred and correct.
 
     A candidate counts if the model still predicts the record's label; the attribute is inferred
     if one candidate alone has the highest confidence and it reaches the threshold.
     """
     kept = scored.withColumn("conf", F.when(argmax(F.col("probs")) == F.col("label"), F.get("probs", F.col("label"))))
-    best = kept.groupBy("record_id", "is_member").agg(
+    keys = list(keys or [])
+    best = kept.groupBy(*keys, "record_id", "is_member").agg(
         F.max("conf").alias("top"), F.max_by("candidate", "conf").alias("guess"), F.max("actual").alias("actual"), F.sort_array(F.collect_list("conf"), asc=False).alias("confs")
     )
     alone = F.size(F.filter("confs", lambda c: c == F.col("top"))) == 1
     inferred = F.coalesce((F.col("top") >= threshold) & alone, F.lit(False))
-    return best.select("record_id", "is_member", inferred.alias("inferred"), (inferred & (F.col("guess") == F.col("actual"))).alias("correct"))
+    return best.select(*keys, "record_id", "is_member", inferred.alias("inferred"), (inferred & (F.col("guess") == F.col("actual"))).alias("correct"))
 
 
 def categorical_attack(records: DataFrame, model, feature_index: list[int], values: list, feature: Column, threshold: float = 0.0) -> DataFrame:
@@ -101,6 +103,33 @@ def quantitative_attack(records: DataFrame, model, index: int, n_points: int = G
     return back.select("record_id", "is_member", bounds_risk(F.col("actual"), points, scores, F.col("actual_score"), limit).alias("at_risk"))
 
 
-def bounds_fraction(found: DataFrame) -> DataFrame:
+def last_value_attack(records: DataFrame, grown: DataFrame, keys: list[str], depth: int, threshold: float = 0.0) -> DataFrame:
+    """infer_categorical of the last feature of every key, by the key's own tree and over the key's own values."""
+    last = F.element_at("features", -1)
+    known = records.filter(last.isNotNull() & ~F.isnan(last)).withColumn("actual", last)
+    values = known.groupBy(*keys, "actual").agg(F.count(F.lit(1)).alias("n"))
+    crowded = values.groupBy(*keys).count().filter(F.col("count") > MAX_VALUES).first()
+    if crowded:
+        raise ValueError(f"more than {MAX_VALUES} values: treat the feature as quantitative")
+    values = values.groupBy(*keys).agg(F.sort_array(F.collect_list("actual")).alias("values"))
+    base = trees.placed(trees.planted(known, grown, keys), depth).withColumn("label", F.col("prediction")).drop("leaf", "probs", "prediction")
+    swept = base.join(broadcast_if_small(values), keys).withColumn("candidate", F.explode("values")).drop("values")
+    swept = swept.withColumn("features", F.concat(F.slice("features", 1, F.size("features") - 1), F.array("candidate")))
+    return infer_categorical(trees.placed(swept, depth), threshold, keys)
+
+
+def first_value_bounds(records: DataFrame, grown: DataFrame, keys: list[str], depth: int, index: int = 0, n_points: int = GRID, limit: float = LIMIT) -> DataFrame:
+    """quantitative_attack of every key by the key's own tree; a grid is swept within its row. Records whose value is missing are not at risk."""
+    value = F.get("features", F.lit(index))
+    rows = records.withColumn("actual", F.when(~F.isnan(value), value))
+    ends = rows.groupBy(*keys).agg(F.min("actual").alias("low"), F.max("actual").alias("high"))
+    rows = trees.placed(trees.planted(rows, grown, keys), depth).withColumn("actual_score", F.get("probs", F.col("prediction"))).join(broadcast_if_small(ends), keys)
+    rows = rows.withColumns({"points": linspace(F.col("low"), F.col("high"), n_points), "x": trees.filled("features")})
+    at = lambda p: trees.walk(F.transform("x", lambda v, i: F.when(i == index, p).otherwise(v)), F.col("splits"), depth)
+    rows = rows.withColumn("scores", F.transform("points", lambda p: F.get(F.try_element_at("node_probs", at(p)), F.col("prediction"))))
+    return rows.select(*keys, "record_id", "is_member", bounds_risk(F.col("actual"), F.col("points"), F.col("scores"), F.col("actual_score"), limit).alias("at_risk"))
+
+
+def bounds_fraction(found: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Share of records at risk per split."""
-    return found.groupBy("is_member").agg(F.avg(F.col("at_risk").cast("double")).alias("risk_fraction"))
+    return found.groupBy(*(keys or []), "is_member").agg(F.avg(F.col("at_risk").cast("double")).alias("risk_fraction"))

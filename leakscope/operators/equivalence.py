@@ -58,7 +58,7 @@ def global_risks(found: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     )
 
 
-def smallest_leaf(df: DataFrame, leaf: str | list[str]) -> DataFrame:
-    """One row: the k-anonymity of a tree (leaf) or forest (leaf columns or an array of leaves)."""
-    keys = [leaf] if isinstance(leaf, str) else list(leaf)
-    return df.dropna(subset=keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("k")).agg(F.min("k").alias("k_anonymity"))
+def smallest_leaf(df: DataFrame, leaf: str | list[str], keys: list[str] | None = None) -> DataFrame:
+    """One row (of every key): the k-anonymity of a tree (leaf) or forest (leaf columns or an array of leaves)."""
+    leaves, keys = [leaf] if isinstance(leaf, str) else list(leaf), list(keys or [])
+    return df.dropna(subset=leaves).groupBy(*keys, *leaves).agg(F.count(F.lit(1)).alias("k")).groupBy(*keys).agg(F.min("k").alias("k_anonymity"))

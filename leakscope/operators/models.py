@@ -169,3 +169,76 @@ class PrivateSVM:
         p = 1 / (1 + F.exp(-(self.slope * F.col("margin") + self.offset)))
         return rows.withColumn("probs", F.array(1 - p, p)).withColumn("prediction", (p > 0.5).cast("int")).select(*[c for c in df.columns if c not in ("probs", "prediction")], "probs", "prediction")
 
+
+def hinge_weights(x, sign, c: float, n_steps: int = 500, rho: float = 1.0, tolerance: float = 1e-6):
+    """Weights and intercept (last) that minimise |w|^2 / 2 + c sum max(0, 1 - sign (x w + b)), by alternating directions."""
+    import numpy as np
+
+    a = sign[:, None] * np.hstack([x, np.ones((len(x), 1))])
+    held = np.diag([1.0] * x.shape[1] + [1e-9])
+    solve = np.linalg.inv(held + rho * a.T @ a)
+    z = u = np.zeros(len(a))
+    for _ in range(n_steps):
+        w = rho * solve @ (a.T @ (z - u))
+        m = a @ w
+        v, before = m + u, z
+        z = np.where(v > 1, v, np.minimum(1.0, v + c / rho))
+        u = v - z
+        if max(np.abs(m - z).max(), np.abs(z - before).max()) < tolerance:
+            break
+    return w
+
+
+def platt(margin, y, n_steps: int = 50):
+    """Slope and offset of the logistic map from margins to labels, by Newton steps held to a finite slope."""
+    import numpy as np
+
+    a, b = np.column_stack([margin, np.ones(len(margin))]), np.zeros(2)
+    for _ in range(n_steps):
+        p = 1 / (1 + np.exp(-np.clip(a @ b, -30, 30)))
+        step = np.linalg.solve(a.T @ (a * (p * (1 - p))[:, None]) + 1e-6 * np.eye(2), a.T @ (y - p) - 1e-6 * b)
+        b = b + np.clip(step, -5, 5)
+        if np.abs(step).max() < 1e-8:
+            break
+    return b
+
+
+def private_svms(df: DataFrame, keys: list[str], c: float = 1.0, eps: float = 10.0, dhat: int = 20, gamma: float = 0.1, seed: int = 0) -> DataFrame:
+    """(keys, record_id, probs, prediction): PrivateSVM of every key, a key's rows in one task.
+
+    Defined results: missing values are 0. The model is for labels 0 and 1: records of keys
+    with another label, or with one label only, have null probs and prediction.
+    """
+    import numpy as np
+    import pandas as pd
+
+    scale = PrivateSVM(c, eps, dhat, gamma, seed).noise_scale
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("record_id", ignore_index=True)
+        out, y = rows[[*keys, "record_id"]].copy(), rows["y"].to_numpy()
+        out["probs"], out["prediction"] = None, pd.array([None] * len(rows), dtype="Int32")
+        if set(y) != {0, 1}:
+            return out
+        width = max(map(len, rows["features"]))
+        x = np.zeros((len(rows), width))
+        for i, values in enumerate(rows["features"]):
+            x[i, : len(values)] = values
+        x = np.nan_to_num(x, nan=0.0)
+        angles = x @ np.random.default_rng(seed).normal(0, math.sqrt(2 * gamma), (dhat, width)).T
+        x = np.hstack([np.cos(angles), np.sin(angles)]) / math.sqrt(dhat)
+        w = hinge_weights(x, 2.0 * y - 1, c)
+        own = [int(k) if isinstance(k, np.integer) else sum(str(k).encode()) for k in rows.loc[0, keys]]
+        if scale:
+            w[:-1] += np.random.default_rng([seed + 1, *[k % 2**63 for k in own]]).laplace(0, scale / len(rows), 2 * dhat)
+        margin = x @ w[:-1] + w[-1]
+        slope, offset = platt(margin, y)
+        p = 1 / (1 + np.exp(-np.clip(slope * margin + offset, -700, 700)))
+        out["probs"], out["prediction"] = list(map(list, np.column_stack([1 - p, p]))), pd.array((p > 0.5).astype(int), dtype="Int32")
+        return out
+
+    kinds = dict(df.dtypes)
+    missing = F.transform("features", lambda v: F.coalesce(v, F.lit(0.0)))
+    rows = df.dropna(subset=[*keys, "features", "y"]).select(*keys, "record_id", "y", missing.alias("features"))
+    schema = ", ".join([*[f"{k} {kinds[k]}" for k in keys], f"record_id {kinds['record_id']}", "probs array<double>", "prediction int"])
+    return rows.groupBy(*keys).applyInPandas(one, schema)

@@ -46,11 +46,13 @@ def hash_sample(df: DataFrame, groups: list[str], n: Column, record: str, seed:
     return whole.unionByName(part).select(*df.columns)
 
 
-def shadow_membership(records: DataFrame, n_models: int, n_train: int, record: str = "record_id") -> DataFrame:
-    """(model_idx, record, in_train) of every shadow model: n_train of all records without replacement."""
-    models = records.select(record).withColumn("model_idx", F.explode(F.sequence(F.lit(0), F.lit(n_models - 1))))
-    chosen = hash_sample(models, ["model_idx"], F.lit(n_train), record, F.col("model_idx")).withColumn("in_train", F.lit(True))
-    return models.join(chosen, [record, "model_idx"], "left").select("model_idx", record, F.coalesce("in_train", F.lit(False)).alias("in_train"))
+def shadow_membership(records: DataFrame, n_models: int, n_train: int | Column, record: str = "record_id", keys: list[str] | None = None) -> DataFrame:
+    """(keys, model_idx, record, in_train) of every shadow model: n_train of all records (of the key) without replacement."""
+    keys = list(keys or [])
+    n = F.lit(n_train) if isinstance(n_train, int) else n_train
+    models = records.select(*keys, record, n.alias("n_train")).withColumn("model_idx", F.explode(F.sequence(F.lit(0), F.lit(n_models - 1))))
+    chosen = hash_sample(models, [*keys, "model_idx"], F.col("n_train"), record, F.col("model_idx")).drop("n_train").withColumn("in_train", F.lit(True))
+    return models.join(chosen, [*keys, record, "model_idx"], "left").select(*keys, "model_idx", record, F.coalesce("in_train", F.lit(False)).alias("in_train"))
 
 
 def stratified_split(df: DataFrame, strata: list[str], test_share: float, record: str, seed: Column | int = 0, groups: list[str] | None = None) -> DataFrame:

@@ -9,14 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leakscope.functions import exprs
-from leakscope.operators import attribute, equivalence, instances, lira, meta, metrics, models, qmia, rules, sampling, significance, structural, worstcase
+from leakscope.operators import attribute, equivalence, instances, lira, meta, metrics, models, qmia, rules, sampling, shadow, significance, structural, trees, worstcase
 from leakscope.plans import frames
-from leakscope.session import latest_rows, table
+from leakscope.session import cut_lineage, latest_rows, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 KEY = ["priority"]
+TARGET = ["target_id"]
 
 
 def query(sql: str | None = None, uses: tuple[str, ...] = ()):
@@ -734,10 +735,7 @@ def worstcase_rf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def shadow_train(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = _learnable(spark, sf_dir)
-    n_train = records.filter("is_member = 1").count()
-    membership = sampling.shadow_membership(records, 2, n_train)
-    return models.shadow_confidences(records, membership, "DecisionTreeClassifier", maxDepth=4)
+    return shadow.tree_confidences(cut_lineage(_learnable(spark, sf_dir)), TARGET, n_models=2, max_depth=4)
 
 
 @query("SELECT CAST(count(*) * 3 AS BIGINT) AS n_rows, CAST(count(*) // 2 * 3 AS BIGINT) AS n_in FROM orders")
@@ -755,35 +753,32 @@ def stratified_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def attribute_bruteforce(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = _learnable(spark, sf_dir)
+    records = cut_lineage(_learnable(spark, sf_dir))
     last = F.element_at("features", -1)
     known = records.filter(last.isNotNull() & ~F.isnan(last))
-    model = models.fit(known.filter("is_member = 1"), "DecisionTreeClassifier", maxDepth=4)
-    width = known.select(F.max(F.size("features"))).first()[0] or 1
-    values = attribute.feature_values(known, last)
-    return attribute.risk_totals(attribute.categorical_attack(known, model, [width - 1], values, last))
+    grown = trees.grow(known.filter("is_member = 1"), TARGET, max_depth=4)
+    return attribute.risk_totals(attribute.last_value_attack(known, grown, TARGET, 4), TARGET)
 
 
 @query()
 def attribute_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = _learnable(spark, sf_dir)
-    model = models.fit(records.filter("is_member = 1"), "DecisionTreeClassifier", maxDepth=4)
-    return attribute.bounds_fraction(attribute.quantitative_attack(records, model, 0))
+    records = cut_lineage(_learnable(spark, sf_dir))
+    grown = trees.grow(records.filter("is_member = 1"), TARGET, max_depth=4)
+    return attribute.bounds_fraction(attribute.first_value_bounds(records, grown, TARGET, 4), TARGET)
 
 
 @query()
 def dt_leaf_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = models.leaves(_learnable(spark, sf_dir), "DecisionTreeClassifier", maxDepth=4)
-    return equivalence.record_risks(placed.filter("is_member = 1"), "leaf")
+    placed = trees.leaves(cut_lineage(_learnable(spark, sf_dir)), TARGET, max_depth=4)
+    return equivalence.record_risks(placed.filter("is_member = 1"), [*TARGET, "leaf"])
 
 
 @query()
 def rf_leaf_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = models.leaves(_learnable(spark, sf_dir), "RandomForestClassifier", maxDepth=3, numTrees=5)
-    return equivalence.smallest_leaf(placed.filter("is_member = 1"), "leaf")
+    placed = trees.forest_leaves(cut_lineage(_learnable(spark, sf_dir)), TARGET, n_trees=5, max_depth=3)
+    return equivalence.smallest_leaf(placed.filter("is_member = 1"), "leaf", TARGET)
 
 
 @query()
 def private_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = _learnable(spark, sf_dir).withColumn("features", F.transform("features", lambda x: F.coalesce(F.when(~F.isnan(x), x), F.lit(0.0))))
-    return models.PrivateSVM(dhat=10).fit(records).score(records).select("record_id", "probs", "prediction")
+    return models.private_svms(_learnable(spark, sf_dir), TARGET, dhat=10).select("record_id", "probs", "prediction")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from leakscope.functions import stats
 from leakscope.functions.exprs import softmax
 from leakscope.operators import metrics
-from leakscope.session import table
+from leakscope.session import latest_rows, table
 
 #: The same frames as common table expressions.
 SQL = {
@@ -111,7 +111,8 @@ def params(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def learnable(spark: SparkSession, sf_dir: str, n_classes: int = 2) -> DataFrame:
-    """Records of real targets to fit models on: label and features of the first rows' targets, missing values as they are."""
-    rows = table(spark, sf_dir, "records").filter("target_id = 1 and features is not null and y is not null").dropDuplicates(["record_id"])
-    return rows.select("record_id", (F.col("split") == "train").cast("int").alias("is_member"), (F.col("y") % n_classes).alias("y"), "features")
+def learnable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(record_id, target_id, is_member, y, features) of the records of all targets to fit models on: the latest row of every record, missing values as they are."""
+    rows = latest_rows(table(spark, sf_dir, "records").select("record_id", "target_id", "split", "y", "features", "ingested_at"), "record_id")
+    rows = rows.filter("record_id is not null and target_id is not null and features is not null and y is not null")
+    return rows.select("record_id", "target_id", (F.col("split") == "train").cast("int").alias("is_member"), "y", "features")
