@@ -12,7 +12,8 @@ mostly its offset; centring first is what makes the say of all scores equal.
 
 Defined results: records that lack one of the scores take no part; a score that
 is the same for all records of the group decides nothing; equal closeness (to
-12 digits) is ordered by the smaller identifier; groups without a full record
+12 digits) is ordered by how far the values lie beyond the cuts, then by the smaller
+identifier; groups without a full record
 give no rows; repeated rows must be made unique beforehand (see the callers).
 """
 
@@ -42,7 +43,11 @@ class Score:
 
 
 def closeness(df: DataFrame, group: str, scores: list[Score], tail: float = TAIL) -> DataFrame:
-    """df with a column `closeness` in [0, 1], 1 being the ideal point; rows lacking a score are left out.
+    """df with `closeness` in [0, 1], 1 being the ideal point, and `beyond`; rows lacking a score are left out.
+
+    `beyond` keeps the order among records that winsorising makes equal: over the scores, the
+    weighted sum of e / (1 + |e|), e being what was pulled in, in standard deviations. So no single
+    outlier decides, and a score that decides nothing does not count.
 
     Four aggregates per group (quantiles; sums and squares; bounds), each pre-aggregated
     before its shuffle; a group of any size is never gathered in one task.
@@ -57,6 +62,7 @@ def closeness(df: DataFrame, group: str, scores: list[Score], tail: float = TAIL
         *[F.percentile_approx(f"say_{s.column}", F.array(F.lit(tail), F.lit(1 - tail)), ACCURACY).alias(f"cut_{s.column}") for s in scores if s.winsorise]
     )
     held = full.join(broadcast_if_small(cuts), group) if any(s.winsorise for s in scores) else full
+    held = held.withColumns({f"raw_{s.column}": F.col(f"say_{s.column}") for s in scores})
     held = held.withColumns(
         {f"say_{s.column}": F.greatest(F.col(f"cut_{s.column}")[0], F.least(F.col(f"cut_{s.column}")[1], F.col(f"say_{s.column}"))) for s in scores if s.winsorise}
     ).drop(*[f"cut_{s.column}" for s in scores])
@@ -67,6 +73,7 @@ def closeness(df: DataFrame, group: str, scores: list[Score], tail: float = TAIL
                 (F.stddev_pop(f"say_{s.column}") * F.sqrt(F.count(F.lit(1)))).alias("length"),
                 F.min(f"say_{s.column}").alias("worst"),
                 F.max(f"say_{s.column}").alias("best"),
+                F.stddev_pop(f"say_{s.column}").alias("spread"),
             ).alias(f"shape_{s.column}")
             for s in scores
         ]
@@ -83,7 +90,12 @@ def closeness(df: DataFrame, group: str, scores: list[Score], tail: float = TAIL
 
     best, worst = distance("best"), distance("worst")
     near = F.when(best + worst > 0, worst / (best + worst)).otherwise(0.5)
-    return placed.withColumn("closeness", F.round(near, 12)).drop(*[f"{p}_{s.column}" for p in ("say", "shape") for s in scores])
+    over = []
+    for s in scores:
+        e = (F.col(f"raw_{s.column}") - F.col(f"say_{s.column}")) / F.col(f"shape_{s.column}.spread")
+        over.append(F.when(F.col(f"shape_{s.column}.length") > 1e-12, s.weight * e / (1 + F.abs(e))).otherwise(0.0))
+    placed = placed.withColumns({"closeness": F.round(near, 12), "beyond": F.round(sum(over[1:], over[0]), 12)})
+    return placed.drop(*[f"{p}_{s.column}" for p in ("say", "raw", "shape") for s in scores])
 
 
 def ranked(df: DataFrame, group: str, item: str, scores: list[Score], limit: str | None = None, tail: float = TAIL) -> DataFrame:
@@ -92,7 +104,7 @@ def ranked(df: DataFrame, group: str, item: str, scores: list[Score], limit: str
     The largest limit is read first and stated in the filter, so the optimiser prunes every
     group to that many rows before and after the shuffle.
     """
-    order = Window.partitionBy(group).orderBy(F.col("closeness").desc(), F.col(item))
+    order = Window.partitionBy(group).orderBy(F.col("closeness").desc(), F.col("beyond").desc(), F.col(item))
     out = closeness(df, group, scores, tail).withColumn("place", F.row_number().over(order))
     if limit:
         most = df.agg(F.max(limit)).first()[0] or 0

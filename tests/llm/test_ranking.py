@@ -66,3 +66,10 @@ def test_exposed_records(spark, names):
     wanted = spark.createDataFrame([(1, 2), (1, 3), (2, 4), (None, 1)], "target_id bigint, top_n int")
     got = [(r.target_id, r.record_id) for r in ranking.exposed_records(scores(spark, rows), names, structs, wanted).orderBy("place").collect()]
     assert got == [(1, 8), (1, 7), (1, 6)]
+
+
+def test_the_order_of_a_large_group_outlasts_the_cuts(spark):
+    """More records than the limit lie beyond every cut; those farthest beyond have the largest identifiers."""
+    rows = spark.range(100_000).selectExpr("1 AS g", "cast(id AS int) AS id", "cast(id AS double) AS a", "id / 7D AS b", "cast(100000 - id AS int) AS c")
+    got = ranking.ranked(rows.selectExpr("*", "3 AS top_n"), "g", "id", SCORES, limit="top_n").orderBy("place").collect()
+    assert [r.id for r in got] == [99_999, 99_998, 99_997] and got[0].closeness == 1
