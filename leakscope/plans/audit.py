@@ -730,12 +730,12 @@ def _learnable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def worstcase_rf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return worstcase.report(frames.emb_probs(spark, sf_dir), n_reps=2, params={"numTrees": 10, "maxDepth": 3, "minInstancesPerNode": 10})
+    return worstcase.report(frames.emb_probs(spark, sf_dir), n_reps=10, n_dummy_reps=10)
 
 
 @query()
 def shadow_train(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shadow.tree_confidences(cut_lineage(_learnable(spark, sf_dir)), TARGET, n_models=2, max_depth=4)
+    return shadow.tree_confidences(cut_lineage(_learnable(spark, sf_dir)), TARGET, n_models=100, max_depth=4)
 
 
 @query("SELECT CAST(count(*) * 3 AS BIGINT) AS n_rows, CAST(count(*) // 2 * 3 AS BIGINT) AS n_in FROM orders")

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from leakscope.operators import attribute, equivalence, models, shadow, trees
-from leakscope.plans import frames
+from leakscope.plans import audit, frames
 from leakscope.session import table
 
 KEYS = ["target_id"]
@@ -82,3 +82,15 @@ def test_private_svms(records, spark):
     svm = models.fit(df, "LinearSVC", regParam=1 / 200, standardization=False, maxIter=500, tol=1e-9)
     goal = lambda v, b: 0.5 * v @ v + np.maximum(0, 1 - (2 * y - 1) * (x @ v + b)).sum()
     assert goal(w[:-1], w[-1]) <= goal(svm.coefficients.toArray(), svm.intercept) + 1e-3
+
+
+def test_registered_repetitions_are_the_references(monkeypatch):
+    asked = {}
+    monkeypatch.setattr(audit.frames, "emb_probs", lambda *_: None)
+    monkeypatch.setattr(audit, "_learnable", lambda *_: None)
+    monkeypatch.setattr(audit, "cut_lineage", lambda df: df)
+    monkeypatch.setattr(audit.worstcase, "report", lambda _, **given: asked.update(given))
+    monkeypatch.setattr(audit.shadow, "tree_confidences", lambda _, __, **given: asked.update(given))
+    audit.worstcase_rf(None, "")
+    audit.shadow_train(None, "")
+    assert "params" not in asked and (asked["n_reps"], asked["n_dummy_reps"], asked["n_models"]) == (10, 10, 100)
