@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import random
 
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -94,6 +95,8 @@ CASES = {
     "services": "\n".join(f"watch repair Town{chr(97 + i)} · watch" for i in range(20)),
     "tags": "#roof_slater #timber #wool\n#tallow_clerk #wool\n" * 5,
     "links": "https://pelul.invalid/cor?id=18\n> http://www.yar.invalid/far  yar-tools.test/nor.html\n" * 5,
+    "codes": "BA-987 iron stove 17\nBA-998 tram company x3 *\nBA-813 copper pan No. 37\nBA-227 copper pan 30 new\n" * 5,
+    "pipes": "flax piano tuner | feather bed | oats\n| mill owners | fire brigade | slate |\n" * 5,
     "mixed": "The relief fund opened the society at noon.\n" + "night mail copper pan brass kettle\n" * 12,
 }
 OTHERS = {
@@ -101,6 +104,10 @@ OTHERS = {
     "article_links": "The town band stood under water near the quay.\nThe choir was adjourned for want of coal.\n" * 6 + "www.shop.example\n",
     "prices": "Wool . . 18/3 — 28/5\nOats . . 33/4 — 3/8\n" * 8,
     "ships": "Fargil, 100 tons, Toryar, barley\nCorost, 321 tons, Gilul, hay\n" * 8,
+    "contents": "The parish clerk. . . . . . 8\nThe town band. . . . . . 11\n" * 6,
+    "results": "Denlor 0, Breven 4\nCorba 8, Norcor 3\n" * 6,
+    "initials": "The choir (J. Dalor) was closed since\nMichaelmas, and the band (B. Rosul) fell short.\n" * 3,
+    "columns": "THE TOWN BAND FELL SHORT\nThe choir was closed for want\nof coal. The tram stood under\nwater near the quay on Tuesday\n" * 4,
     "names": "L. Thornlor, H. Breharmar, B. Rospel,\nD. Pelros, W. Coring, B. Wick\n" * 8,
     "verse": "The night mail lost the bridge toll at the room,\nThe choir of Brebre approved the tram,\n" * 6,
     "short": "Lost yesterday evening, brass kettle,\nreward given.",
@@ -120,6 +127,26 @@ def test_pages(spark):
     assert shapes.shape_report(df).count() > 5
 
 
+def test_blocks_do_not_matter(monkeypatch):
+    texts = [t or "" for t in {**CASES, **OTHERS}.values()] + ["\U0001d400\U0001d401 \U00010400 x"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["a", "b"])
+    whole = pa.Table.from_batches(shapes._judged([batch], list("abcdef"))).to_pydict()
+    monkeypatch.setattr(shapes, "BLOCK", 1)
+    assert pa.Table.from_batches(shapes._judged([batch, batch.slice(0, 0)], list("abcdef"))).to_pydict() == whole
+    assert [n for n, f in zip([*CASES, *OTHERS, "wide"], whole["f"], strict=True) if f] == list(CASES)
+
+
+def test_shape_counts_by_hand():
+    s = shapes._block_shapes(["Sale of soap.\nTWO WORDS\nA. Bell, 3 www.x-shop.test", "", "oats oats oats oats oats, hay"])
+    names = [shapes.shape_name(int(k), bool(t)) for k, t in zip(s["shape"], s["sentence"], strict=True)]
+    assert list(zip(s["page"].tolist(), names, s["lines"].tolist(), s["words"].tolist(), strict=True)) == [
+        (0, "loose w1 c1 s0 n0 i0", 1, 3),
+        (0, "heading w1 c2 s0 n0 i0", 1, 2),
+        (0, "tag or link w1 c2 s1 n1 i1", 1, 1),
+        (2, "loose w2 c0 s1 n0 i0", 1, 6),
+    ]
+
+
 def test_decomposed_accents_and_invisible_signs(spark):
     text = "Der Bürger fand während des Jahres großen Beifall.\nÜber die Straße kam u​nd ging der Rat für ihn.\n" * 5
     import unicodedata
