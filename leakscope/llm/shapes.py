@@ -108,7 +108,7 @@ class _Tokens:
         self.first, self.after = edges[::2], edges[1::2]
         first, last = self.first, self.after - 1
         self.page, self.line = page[first], np.cumsum(kind == LINE, dtype=np.int32)[first]
-        letter, small = (kind == UPPER) | (kind == LOWER), lower[np.where(code > 0xFFFF, 0, code)]
+        letter, small = (kind == UPPER) | (kind == LOWER), np.where(code > 0xFFFF, code, lower[np.minimum(code, 0xFFFF)])
         digit, sign = kind == DIGIT, lambda c: code == ord(c)
         is_ = lambda c: small == ord(c)
         inner = letter | digit | sign("-") | sign("_")
