@@ -200,7 +200,7 @@ def _block_shapes(texts: list[str]) -> dict[str, np.ndarray]:
     verse = t.capitals[starts] & t.commas[last] & (words >= LEAST_WORDS) & (separators == 1)
     held = count(_in_sentences(t, np.repeat(record | heading, last + 1 - starts), last[verse]))
     kind = np.select([(links > 0) | (tags > 0), record, heading], [3, 2, 1], 0)
-    levels = [kind, np.searchsorted(WORD_LEVELS, words), (capitals > 0) + (capitals * 2 >= np.maximum(words, 1)), np.searchsorted(SEPARATOR_LEVELS, separators), numbers > 0, initials > 0]
+    levels = [kind, np.searchsorted(WORD_LEVELS, words), (capitals > 0).astype(np.int64) + (capitals * 2 >= np.maximum(words, 1)), np.searchsorted(SEPARATOR_LEVELS, separators), numbers > 0, initials > 0]
     shape = np.zeros(len(starts), np.int64)
     for level, size in zip(levels, PARTS.values(), strict=True):
         shape = shape * size + level
