@@ -6,6 +6,9 @@ import math
 import random
 from datetime import datetime, timedelta
 
+import pyarrow as pa
+import pytest
+
 from leakscope.llm import overlap
 
 DAY = datetime(2024, 1, 1)
@@ -63,16 +66,69 @@ def test_flags_and_constant_features(spark):
     assert found(spark, rows) == brute(rows)
 
 
-def test_large_runs_are_compared_in_blocks(spark, monkeypatch):
-    rng = random.Random(4)
-    # half of each record is shared by all: its stretch is one large run
-    rows = [(i, 1, "train" if i % 3 else "test", [0.5] * 8 + [round(rng.choice([0.0, 3.0, 6.0]) + rng.random() / 50, 5) for _ in range(8)]) for i in range(150)]
-    want = brute(rows)
+@pytest.fixture
+def small_runs(monkeypatch):
+    """The walk runs in other processes, so the limit is handed over with it."""
     monkeypatch.setattr(overlap, "RUN_PAIRS", 50)
+    monkeypatch.setattr(overlap, "BLOCK", 7)
+
+
+def shared_half(n=150):
+    rng = random.Random(4)
+    # half of each record is shared by all: its window is one large run
+    return [(i, 1, "train" if i % 3 else "test", [0.5] * 8 + [round(rng.choice([0.0, 3.0, 6.0]) + rng.random() / 50, 5) for _ in range(8)]) for i in range(n)]
+
+
+def detailed(spark, rows):
+    return sorted((r.train_record, r.evaluation_record, round(r.coverage, 9), r.n_disagree) for r in overlap.overlaps(records(spark, rows)).collect())
+
+
+def test_large_runs_change_nothing(spark, monkeypatch, request):
+    rng = random.Random(9)
+    rows = shared_half() + [(1000 + i, 2, "train" if i % 2 else "test_late", [0.1266] * 14 + [round(rng.random() * 4, 3), 1.0]) for i in range(40)]
+    plain = detailed(spark, rows)
+    assert {(min(a, b), max(a, b)) for a, b, *_ in plain} == brute(rows) and all(c == 1 if not n else 0 < c < 1 for _, _, c, n in plain)
+    request.getfixturevalue("small_runs")
     kinds = overlap.classes(overlap.members(records(spark, rows)))
-    shared = overlap.shared_spans(overlap.suffixes(kinds, overlap.stretches(kinds)))
+    shared = overlap.shared_spans(overlap.suffixes(kinds, overlap.windows(kinds)))
     assert shared.filter("train_class is null").count() > 0 and shared.filter("evaluation_class is null").count() > 0
-    assert found(spark, rows) == want
+    assert detailed(spark, rows) == plain
+
+
+def test_many_constant_features_at_a_border_do_not_explode(spark):
+    rng = random.Random(6)
+    rows = [(i, 1, "train" if i % 2 else "test", [0.1266] * 60 + [round(rng.gauss(0, 1), 3) for _ in range(12)]) for i in range(30)]
+    rows += [(100, 1, "test", rows[1][3][:-1] + [9.0])]
+    assert found(spark, rows) == brute(rows) and (1, 100) in brute(rows)
+
+
+def test_the_prefix_length_decides_the_candidates(spark):
+    rng = random.Random(7)
+    rows = [(i, 1, "train" if i % 2 else "test", [round(rng.gauss(0, 1), 3) for _ in range(16)]) for i in range(300)]
+    kinds = overlap.classes(overlap.members(records(spark, rows)))
+    counts = [overlap.candidates(kinds, overlap.windows(kinds, n)).count() for n in (1, 2, 8)]
+    assert counts[0] > counts[1] > counts[2]
+
+
+def test_runs_go_on_across_batches(monkeypatch):
+    rows = [(1, b"aab", 2, i, i % 2 == 0) for i in range(9)] + [(1, b"abb", 2, 20, True), (1, b"abc", 2, 21, False), (2, b"abc", 2, 22, False), (3, b"", 0, 30, True), (3, b"", 0, 31, False)]
+    columns = list(zip(*rows, strict=True))
+    kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.bool_())
+    whole = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["run", "suffix", "length", "class_id", "is_train"])
+
+    def walked(limit, size):
+        batches = [whole.slice(i, size) for i in range(0, len(rows), size)]
+        got = [t for b in overlap._walk(iter(batches), limit) for t in zip(*b.to_pydict().values(), strict=True)]
+        return sorted((t[:2] + t[3:] for t in got), key=str), {t[2] for t in got}
+
+    for limit in (100, 5):
+        want = walked(limit, len(rows))
+        for size in (1, 2, 3, 5, 13):
+            assert walked(limit, size) == want
+    pairs = walked(100, 4)[0]
+    assert len(pairs) == 20 + 1 + 1 and (20, 21, 3, 2) in pairs and (30, 31, 0, 0) in pairs
+    members, _ = walked(5, 4)
+    assert len(members) == 9 + 1 + 1 and (0, None, 3, 2) in members and (None, 1, 3, 2) in members
 
 
 def test_copies_repeats_and_defined_cases(spark):
