@@ -87,8 +87,8 @@ def classes(rows: DataFrame) -> DataFrame:
     Rows are spread by target (hot targets also by hash), so grouping needs no shuffle beyond that one.
     """
     counts = rows.groupBy("target_id").agg(F.count(F.lit(1)).alias("n"))
-    counts = counts.crossJoin(counts.agg(F.sum("n").alias("whole"))).filter(F.col("n") * HOT > F.col("whole"))
-    hot = counts.select("target_id", F.ceil(F.col("n") * HOT / F.col("whole")).alias("parts")).collect()  # HOT rows at most
+    whole = counts.agg(F.sum("n")).first()[0] or 0
+    hot = counts.filter(F.col("n") * HOT > whole).select("target_id", F.ceil(F.col("n") * HOT / whole).alias("parts")).collect() if whole else []  # HOT rows at most
     parts = F.lit(1)
     for r in hot:
         parts = F.when(F.col("target_id") == r.target_id, F.lit(r.parts)).otherwise(parts)
