@@ -2,10 +2,13 @@
 
 Each section of a report file has a fingerprint: the paths of its metadata and
 individual blocks with their JSON types. Sections of one fingerprint are a schema
-version. For every version (not every section) the migration to the reference
-schema is worked out once, as explicit steps: rename, default, cast, keep. Sections
-are then routed through the steps of their version by a join, which gives both the
-list of changes and the values under the reference's paths and types.
+version, numbered by when it was first seen. For every version (not every section)
+the migration to the reference schema is worked out once, as a chain of explicit
+steps: rename, default (null), cast, drop. Sections are then routed through the
+chain of their version by a join, which gives both the list of changes and the
+values under the reference's paths and types. A registry of versions may be handed
+over from batch to batch: versions it knows keep their number and their steps, so a
+later batch changes no earlier result.
 
 A required path that is absent was renamed if its content stands under an unlisted
 path of the same block and type. Spelling alone settles most: the same letters in
@@ -14,13 +17,16 @@ rest the corpus decides. Over all versions it is counted how often the unlisted
 name stands where the listed one is absent; a new name that also occurs beside the
 listed one is an addition, not its new name. Alike content (ranges and digits of
 numbers, forms of texts) and alike names lower what is asked of the counts, which
-must be unlikely by the rate at which the listed path is absent for no reason.
+must be unlikely by the rate at which the listed path is absent for no reason. All
+of this evidence is counted over all sections and joined to the versions that need
+it; none of it is gathered in one place.
 
 Defined results: payloads that are null or not whole give no rows; a file received
 again counts as received last; sections of an unknown attack are not judged;
 nulls and empty arrays have no type; a path with a null is present; objects and
 nulls where only listed paths lie below are not additions themselves; repeated
-rows change nothing; an empty table gives empty results.
+rows change nothing; an empty table gives empty results; numbers of a path that are
+whole throughout, and within 64 bits, stay whole in the table, others become double.
 """
 
 from __future__ import annotations
@@ -31,7 +37,7 @@ import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -45,9 +51,9 @@ FREE = ("metadata.target_model_params",)
 #: Share of a name's sections in which the listed path must be absent, and the chance that may explain it
 #: otherwise: with plain content, with content of the same form; the least rate of absence assumed.
 ALWAYS, CHANCE, CHANCE_ALIKE, LEAST_RATE = 0.8, 0.02, 0.15, 0.005
-#: Names are alike from this share of common words; forms kept of a path's texts, the most frequent first; share of a
-#: range that numbers of the same form must span.
-ALIKE, FORMS, SPAN = 0.5, 200, 0.1
+#: Names are alike from this share of common words; share of a range that numbers of the same form must span; share of a
+#: path's texts with a form seen once from which texts of other forms tell nothing.
+ALIKE, SPAN, UNIQUE = 0.5, 0.1, 0.5
 
 
 # ---------------------------------------------------------------- the fields of a section
@@ -99,23 +105,34 @@ def section_values(section: dict, listed: dict) -> tuple[dict[str, object], int]
     return values | columns, size
 
 
-def _form(text: str) -> str:
-    """A text with every number reduced to one digit."""
-    return re.sub(r"\d+", "9", text)[:80]
+def _form(text: str) -> int:
+    """A number for a text in which every number is reduced to one digit."""
+    return int.from_bytes(hashlib.blake2b(re.sub(r"\d+", "9", text).encode("utf-8", "surrogatepass"), digest_size=8).digest(), signed=True)
 
 
-def _profile(value) -> tuple[float | None, float | None, int | None, list[str]]:
-    """Least and largest finite number, most decimals, and forms of texts in a value."""
+def _finite(value) -> float | None:
+    """A number that is no flag, as a finite float."""
+    try:
+        return float(value) if isinstance(value, (int, float)) and not isinstance(value, bool) and math.isfinite(value) else None
+    except OverflowError:
+        return None
+
+
+def _profile(value) -> tuple[float | None, float | None, int | None, bool | None, list[int]]:
+    """Least and largest finite number, most decimals, whether all are whole, and forms of texts in a value."""
     flat = value if isinstance(value, list) else [value]
-    numbers = [float(v) for v in flat if isinstance(v, (int, float)) and not isinstance(v, bool) and math.isfinite(v)]
-    texts = sorted({_form(v) for v in flat if isinstance(v, str)})[:5]
+    texts = sorted({_form(v) for v in flat if isinstance(v, str)})
+    kinds = [v for v in flat if isinstance(v, (int, float)) and not isinstance(v, bool)]
+    numbers = [n for n in map(_finite, kinds) if n is not None]
+    whole = all(isinstance(v, int) and -(2**63) <= v < 2**63 for v in kinds) if kinds else None
     if not numbers:
-        return None, None, None, texts
+        return None, None, None, whole, texts
     decimals = max(len(repr(n).partition(".")[2]) if not n.is_integer() else 0 for n in numbers)
-    return min(numbers), max(numbers), decimals, texts
+    return min(numbers), max(numbers), decimals, whole, texts
 
 
-_FIELD = "struct<path:string,kind:string,value:string,low:double,high:double,decimals:int,forms:array<string>>"
+_FIELD_NAMES = ("path", "kind", "value", "low", "high", "decimals", "whole", "forms")
+_FIELD = "struct<path:string,kind:string,value:string,low:double,high:double,decimals:int,whole:boolean,forms:array<bigint>>"
 _SECTION = f"log_id string, attack_name string, log_time string, judged_entries boolean, fingerprint string, fields array<{_FIELD}>"
 
 
@@ -154,8 +171,7 @@ def judged_sections(files: DataFrame, reference: Reference) -> DataFrame:
                     values, size = section_values(section, reference.listed[attack])
                     fields = [(p, json_kind(v), json.dumps(v, ensure_ascii=False), *_profile(v)) for p, v in sorted(values.items())]
                     print_of = hashlib.md5(json.dumps([size > 0, [f[:2] for f in fields]]).encode("utf-8", "surrogatepass")).hexdigest()
-                    names = ("path", "kind", "value", "low", "high", "decimals", "forms")
-                    rows.append((log_id(key, section), attack, str(section.get("log_time")), size > 0, print_of, [dict(zip(names, f, strict=True)) for f in fields]))
+                    rows.append((log_id(key, section), attack, str(section.get("log_time")), size > 0, print_of, [dict(zip(_FIELD_NAMES, f, strict=True)) for f in fields]))
             yield pd.DataFrame(rows, columns=["log_id", "attack_name", "log_time", "judged_entries", "fingerprint", "fields"])
 
     return latest_files(files).select("payload").mapInPandas(run, _SECTION)
@@ -164,30 +180,43 @@ def judged_sections(files: DataFrame, reference: Reference) -> DataFrame:
 # ---------------------------------------------------------------- versions and what the corpus says of names
 
 
-def schema_versions(judged: DataFrame) -> DataFrame:
-    """(attack_name, fingerprint, version_no, n_sections, judged_entries, paths, kinds): the versions of every attack, most frequent first."""
+def schema_versions(judged: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(attack_name, fingerprint, version_no, n_sections, judged_entries, paths, kinds): the versions of every attack as first seen, after those known."""
     grouped = judged.groupBy("attack_name", "fingerprint").agg(
         F.count(F.lit(1)).alias("n_sections"),
+        F.min("log_time").alias("first_seen"),
         F.first("judged_entries").alias("judged_entries"),
         F.first(F.transform("fields", lambda f: f["path"])).alias("paths"),
         F.first(F.transform("fields", lambda f: f["kind"])).alias("kinds"),
     )
-    order = Window.partitionBy("attack_name").orderBy(F.desc("n_sections"), "fingerprint")
-    return grouped.withColumn("version_no", F.row_number().over(order))
+    order = Window.partitionBy("attack_name").orderBy("first_seen", "fingerprint")
+    if known is None:
+        return grouped.withColumn("version_no", F.row_number().over(order)).drop("first_seen")
+    last = known.groupBy("attack_name").agg(F.max("version_no").alias("last_no"))
+    joined = grouped.join(known.select("attack_name", "fingerprint", F.col("version_no").alias("known_no")), ["attack_name", "fingerprint"], "left").join(last, "attack_name", "left")
+    own = F.row_number().over(Window.partitionBy("attack_name", F.col("known_no").isNull()).orderBy("first_seen", "fingerprint"))
+    number = F.coalesce(F.col("known_no"), F.coalesce("last_no", F.lit(0)) + own)
+    return joined.withColumn("version_no", number).drop("first_seen", "known_no", "last_no")
 
 
 @dataclass
 class Evidence:
-    """Counts over all versions by last names of paths, and profiles of paths."""
+    """What the corpus says of an unlisted path in place of a listed one."""
 
-    together: dict[tuple[str, str], tuple[int, int]] = field(default_factory=dict)  # (unlisted, listed) -> sections without the listed one, all
-    absent: dict[str, tuple[int, int]] = field(default_factory=dict)  # listed -> sections without it or anything in its place, all
-    numbers: dict[str, tuple[float, float, int]] = field(default_factory=dict)
-    forms: dict[str, set[str]] = field(default_factory=dict)
+    gone: int = 0  # sections with the unlisted name without the listed one, and all sections with both possible
+    whole: int = 0
+    alone: int = 0  # sections without the listed path or anything in its place, and all
+    judged: int = 0
+    ours: tuple[float, float, int] | None = None  # least, largest, decimals of either path
+    theirs: tuple[float, float, int] | None = None
+    #: Forms of texts that both have; whether either has none; share of the listed path's texts with a form seen once.
+    shared: int = 0
+    formless: bool = True
+    unique: float = 0.0
 
-    def rate(self, path: str) -> float:
-        gone, whole = self.absent.get(path, (0, 0))
-        return max(LEAST_RATE, gone / whole if whole else 0.0)
+    @property
+    def rate(self) -> float:
+        return max(LEAST_RATE, self.alone / self.judged if self.judged else 0.0)
 
 
 def _last(path: str) -> str:
@@ -202,57 +231,69 @@ def _sorted_out(listed: dict, paths: list[str], kinds: list[str], judged_entries
     """(absent required paths, unlisted paths with kinds) of a version."""
     present = dict(zip(paths, kinds, strict=True))
     absent = [p for p, (_, required) in listed.items() if required and p not in present and (judged_entries or _block(p) != "individual")]
-    return absent, {p: k for p, k in present.items() if p not in listed}
+    return absent, {p: k for p, k in present.items() if p not in listed and (judged_entries or _block(p) != "individual")}
+
 
+_RIVAL = "attack_name string, fingerprint string, n_sections bigint, listed string, unlisted string, listed_last string, unlisted_last string, kind string, absent boolean"
 
-def gather_evidence(judged: DataFrame, versions: DataFrame, reference: Reference) -> Evidence:
-    """Aggregate the counts and profiles; what comes to the driver is one row of a pair of names or a path, of bounded number."""
 
-    def counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[tuple[str, str, str], list[int]] = defaultdict(lambda: [0, 0])
+def rivals(versions: DataFrame, reference: Reference) -> DataFrame:
+    """Each required path of a version with each unlisted path of its block and type (null if there is none)."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
+            rows = []
             for v in frame.itertuples():
                 listed = reference.listed[v.attack_name]
                 absent, unlisted = _sorted_out(listed, list(v.paths), list(v.kinds), v.judged_entries)
-                gone: dict[tuple[str, str], bool] = {}
                 for p, (kind, required) in listed.items():
-                    if not required or (_block(p) == "individual" and not v.judged_entries):
-                        continue
-                    rivals = [u for u, k in unlisted.items() if k == kind and _block(u) == _block(p)]
-                    alone = sums["absent", p, ""]
-                    alone[0] += v.n_sections * (p in absent and not rivals)
-                    alone[1] += v.n_sections
-                    for pair in ((_last(u), _last(p)) for u in rivals):
-                        gone[pair] = gone.get(pair, False) or p in absent
-                for pair, absent_too in gone.items():
-                    both = sums["together", *pair]
-                    both[0] += v.n_sections * absent_too
-                    both[1] += v.n_sections
-        yield pd.DataFrame([(*k, *n) for k, n in sums.items()], columns=["what", "a", "b", "n", "whole"])
-
-    schema = "what string, a string, b string, n bigint, whole bigint"
-    summed = versions.select("attack_name", "n_sections", "judged_entries", "paths", "kinds").mapInPandas(counts, schema).groupBy("what", "a", "b").agg(F.sum("n").alias("n"), F.sum("whole").alias("whole"))
-    fields = judged.select(F.explode("fields").alias("f")).select("f.*")
-    numbers = fields.filter("low is not null").groupBy("path").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("decimals").alias("decimals"))
-    forms = fields.select("path", F.explode("forms").alias("form")).groupBy("path", "form").agg(F.count(F.lit(1)).alias("n"))
-    top = Window.partitionBy("path").orderBy(F.desc("n"), "form")
-    forms = forms.withColumn("place", F.row_number().over(top)).filter(F.col("place") <= FORMS).groupBy("path").agg(F.collect_set("form").alias("forms"))
-    out, most = Evidence(), BROADCAST_ROWS * 10
-    for r in _bounded(summed, most):
-        if r.what == "absent":
-            out.absent[r.a] = (r.n, r.whole)
-        else:
-            out.together[r.a, r.b] = (r.n, r.whole)
-    out.numbers = {r.path: (r.low, r.high, r.decimals) for r in _bounded(numbers, most)}
-    out.forms = {r.path: set(r.forms) for r in _bounded(forms, most)}
-    return out
-
-
-def _bounded(df: DataFrame, most: int) -> list:
-    rows = df.limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} distinct paths: these keys are data, not a schema")
-    return rows
+                    if required and (v.judged_entries or _block(p) != "individual"):
+                        found = [u for u, k in unlisted.items() if k == kind and _block(u) == _block(p)]
+                        rows += [(v.attack_name, v.fingerprint, v.n_sections, p, u, _last(p), u and _last(u), kind, p in absent) for u in found or [None]]
+            yield pd.DataFrame(rows, columns=[f.split()[0] for f in _RIVAL.split(", ")])
+
+    return versions.select("attack_name", "fingerprint", "n_sections", "judged_entries", "paths", "kinds").mapInPandas(run, _RIVAL)
+
+
+def rename_scores(judged: DataFrame, versions: DataFrame, reference: Reference) -> DataFrame:
+    """(attack_name, fingerprint, scored): for each version the array of (score, unlisted, listed) that are possible renames."""
+    found = cut_lineage(rivals(versions, reference))
+    version = ["attack_name", "fingerprint"]
+    names = ["unlisted_last", "listed_last"]
+    both = found.filter("unlisted is not null").groupBy(*version, *names).agg(F.max("absent").alias("absent"), F.max("n_sections").alias("n"))
+    together = both.groupBy(*names).agg(F.sum(F.when(F.col("absent"), F.col("n")).otherwise(0)).alias("gone"), F.sum("n").alias("whole"))
+    each = found.groupBy(*version, "listed").agg((F.max("absent") & F.max("unlisted").isNull()).alias("alone"), F.max("n_sections").alias("n"))
+    absent = each.groupBy("listed").agg(F.sum(F.when(F.col("alone"), F.col("n")).otherwise(0)).alias("alone"), F.sum("n").alias("judged"))
+    wanted = cut_lineage(found.filter("absent and unlisted is not null").select(*version, "listed", "unlisted", *names, "kind"))
+    pairs = wanted.select("listed", "unlisted").distinct()
+    named = pairs.select(F.explode(F.array("listed", "unlisted")).alias("path")).distinct()
+    fields = judged.select(F.explode("fields").alias("f")).select("f.path", "f.low", "f.high", "f.decimals", "f.forms").join(broadcast_if_small(named), "path", "left_semi")
+    fields = cut_lineage(fields.filter("low is not null or size(forms) > 0"))
+    numbers = fields.groupBy("path").agg(F.struct(F.min("low").alias("low"), F.max("high").alias("high"), F.max("decimals").alias("decimals")).alias("numbers")).filter("numbers.low is not null")
+    forms = cut_lineage(fields.select("path", F.explode("forms").alias("form")).groupBy("path", "form").agg(F.count(F.lit(1)).alias("n")))
+    once = forms.groupBy("path").agg((F.sum(F.when(F.col("n") == 1, 1).otherwise(0)) / F.sum("n")).alias("unique"))
+    shared = pairs.join(forms.select(F.col("path").alias("listed"), "form"), "listed").join(forms.select(F.col("path").alias("unlisted"), "form"), ["unlisted", "form"])
+    shared = shared.groupBy("listed", "unlisted").agg(F.count(F.lit(1)).alias("shared"))
+    joined = wanted.join(together, names, "left").join(absent, "listed", "left").join(shared, ["listed", "unlisted"], "left")
+    for side in ("listed", "unlisted"):
+        joined = joined.join(numbers.select(F.col("path").alias(side), F.col("numbers").alias(f"{side}_numbers")), side, "left")
+        joined = joined.join(once.select(F.col("path").alias(side), F.col("unique").alias(f"{side}_unique")), side, "left")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for r in frame.itertuples():
+                ours, theirs = ((n["low"], n["high"], n["decimals"]) if n is not None else None for n in (r.unlisted_numbers, r.listed_numbers))
+                formless = pd.isna(r.unlisted_unique) or pd.isna(r.listed_unique)
+                number = lambda x: 0 if pd.isna(x) else int(x)
+                evidence = Evidence(number(r.gone), number(r.whole), number(r.alone), number(r.judged), ours, theirs, number(r.shared), formless, 0.0 if formless else r.listed_unique)
+                score = rename_score(r.unlisted, r.listed, r.kind, evidence)
+                if score > 0:
+                    rows.append((r.attack_name, r.fingerprint, score, r.unlisted, r.listed))
+            yield pd.DataFrame(rows, columns=["attack_name", "fingerprint", "score", "unlisted", "listed"])
+
+    scored = joined.mapInPandas(run, "attack_name string, fingerprint string, score double, unlisted string, listed string")
+    return scored.groupBy(*version).agg(F.collect_list(F.struct("score", "unlisted", "listed")).alias("scored"))  # pairs of one section's paths
 
 
 # ---------------------------------------------------------------- the migration of a version
@@ -276,10 +317,10 @@ def name_likeness(a: str, b: str) -> float:
     return sum(any(alike(x, y) for y in theirs) for x in ours) / max(len(ours), len(theirs))
 
 
-def content_likeness(unlisted: str, listed: str, kind: str, evidence: Evidence) -> int:
+def content_likeness(kind: str, evidence: Evidence) -> int:
     """0: of another form; 1: nothing against it; 2: of the same form."""
     if kind.endswith(("number", "number>")):
-        ours, theirs = evidence.numbers.get(unlisted), evidence.numbers.get(listed)
+        ours, theirs = evidence.ours, evidence.theirs
         if not ours or not theirs:
             return 1
         span = max(theirs[1] - theirs[0], 1e-9)
@@ -287,10 +328,9 @@ def content_likeness(unlisted: str, listed: str, kind: str, evidence: Evidence)
             return 0
         return 2 if ours[1] - ours[0] >= SPAN * span and ours[2] == theirs[2] else 1
     if kind.endswith(("string", "string>")):
-        ours, theirs = evidence.forms.get(unlisted, set()), evidence.forms.get(listed, set())
-        if not ours or not theirs or len(theirs) >= FORMS:
+        if evidence.formless:
             return 1
-        return 2 if ours & theirs else 0
+        return 2 if evidence.shared else 1 if evidence.unique >= UNIQUE else 0
     return 1
 
 
@@ -299,15 +339,13 @@ def rename_score(unlisted: str, listed: str, kind: str, evidence: Evidence) -> f
     near = 0.1 * (unlisted.rpartition(".")[0] == listed.rpartition(".")[0])
     if bare_name(unlisted) == bare_name(listed):
         return 10 + near
-    names, content = name_likeness(unlisted, listed), content_likeness(unlisted, listed, kind, evidence)
-    gone, whole = evidence.together.get((_last(unlisted), _last(listed)), (0, 0))
-    share = gone / whole if whole else 0.0
+    names, content = name_likeness(unlisted, listed), content_likeness(kind, evidence)
+    share = evidence.gone / evidence.whole if evidence.whole else 0.0
     if share < ALWAYS or (content == 0 and names < ALIKE):
         return 0.0
-    rate = evidence.rate(listed)
-    if names < ALIKE and rate**gone > (CHANCE_ALIKE if content == 2 else CHANCE):
+    if names < ALIKE and evidence.rate**evidence.gone > (CHANCE_ALIKE if content == 2 else CHANCE):
         return 0.0
-    return share + 2 * names + 0.2 * content + 0.3 * (1 - rate) + near
+    return share + 2 * names + 0.2 * content + 0.3 * (1 - evidence.rate) + near
 
 
 @dataclass(frozen=True)
@@ -319,24 +357,18 @@ class Step:
     from_path: str | None = None
 
 
-def migration(listed: dict, paths: list[str], kinds: list[str], judged_entries: bool, evidence: Evidence) -> list[Step]:
-    """The steps from a version to the reference schema of its attack."""
+def migration(listed: dict, paths: list[str], kinds: list[str], judged_entries: bool, scored: list[tuple[float, str, str]]) -> list[Step]:
+    """The chain of steps from a version to the reference schema of its attack; scored: possible renames as (score, unlisted, listed)."""
     absent, unlisted = _sorted_out(listed, paths, kinds, judged_entries)
-    if not judged_entries:
-        unlisted = {p: k for p, k in unlisted.items() if _block(p) != "individual"}
     present = dict(zip(paths, kinds, strict=True))
-    steps = [Step("retyped", p, p) for p, (kind, _) in listed.items() if present.get(p) and present[p] != kind]
-    scored = sorted(
-        ((rename_score(u, p, k, evidence), u, p) for p in absent for u, k in unlisted.items() if k == listed[p][0] and _block(u) == _block(p)), key=lambda x: (-x[0], x[1], x[2])
-    )
     taken: dict[str, str] = {}
-    for score, u, p in scored:
-        if score > 0 and u not in taken.values() and p not in taken:
+    for _, u, p in sorted(scored, key=lambda x: (-x[0], x[1], x[2])):
+        if u not in taken.values() and p not in taken:
             taken[p] = u
-    steps += [Step("renamed", p, u) for p, u in sorted(taken.items())]
+    steps = [Step("renamed", p, u) for p, u in sorted(taken.items())]
     steps += [Step("removed", p) for p in absent if p not in taken]
-    steps += [Step("added", u, u) for u in sorted(unlisted) if u not in taken.values()]
-    return steps
+    steps += [Step("retyped", p, p) for p, (kind, _) in listed.items() if present.get(p) and present[p] != kind]
+    return steps + [Step("added", u, u) for u in sorted(unlisted) if u not in taken.values()]
 
 
 @dataclass
@@ -347,26 +379,47 @@ class Drift:
     versions: DataFrame
     steps: DataFrame
     reference: Reference
+    known: DataFrame | None = None
 
 
-def drift(files: DataFrame, fields: DataFrame, names: DataFrame) -> Drift:
-    """Fingerprint all sections and work out the migration of every version."""
+_STEPS = "attack_name string, fingerprint string, step_no int, change_kind string, field_path string, from_path string"
+_STEP_FIELDS = ("step_no", "change_kind", "field_path", "from_path")
+
+
+def drift(files: DataFrame, fields: DataFrame, names: DataFrame, known: DataFrame | None = None) -> Drift:
+    """Fingerprint all sections and work out the migration of every version that is not known (see `registry`)."""
     reference = Reference.read(fields, names)
     judged = cut_lineage(judged_sections(files, reference))
-    versions = cut_lineage(schema_versions(judged))
-    evidence = files.sparkSession.sparkContext.broadcast(gather_evidence(judged, versions, reference))
+    versions = cut_lineage(schema_versions(judged, known))
+    version = ["attack_name", "fingerprint"]
+    fresh = versions if known is None else versions.join(known.select(*version), version, "left_anti")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for v in frame.itertuples():
-                for n, s in enumerate(migration(reference.listed[v.attack_name], list(v.paths), list(v.kinds), v.judged_entries, evidence.value)):
+                scored = [(s["score"], s["unlisted"], s["listed"]) for s in v.scored] if v.scored is not None else []
+                for n, s in enumerate(migration(reference.listed[v.attack_name], list(v.paths), list(v.kinds), v.judged_entries, scored)):
                     rows.append((v.attack_name, v.fingerprint, n, s.change_kind, s.field_path, s.from_path))
-            yield pd.DataFrame(rows, columns=["attack_name", "fingerprint", "step_no", "change_kind", "field_path", "from_path"])
+            yield pd.DataFrame(rows, columns=[*version, *_STEP_FIELDS])
+
+    scored = fresh.join(rename_scores(judged, versions, reference), version, "left")
+    steps = scored.select(*version, "judged_entries", "paths", "kinds", "scored").mapInPandas(run, _STEPS)
+    if known is not None:
+        here = versions.select(*version)
+        steps = steps.unionByName(known.join(here, version, "left_semi").select(*version, F.explode("steps").alias("s")).select(*version, *[f"s.{c}" for c in _STEP_FIELDS]))
+    return Drift(judged, versions, cut_lineage(steps), reference, known)
+
 
-    schema = "attack_name string, fingerprint string, step_no int, change_kind string, field_path string, from_path string"
-    steps = cut_lineage(versions.select("attack_name", "fingerprint", "judged_entries", "paths", "kinds").mapInPandas(run, schema))
-    return Drift(judged, versions, steps, reference)
+def registry(found: Drift) -> DataFrame:
+    """(attack_name, fingerprint, version_no, steps): all versions seen so far, to be stored and handed to the next batch as known."""
+    version = ["attack_name", "fingerprint"]
+    listed = found.steps.groupBy(*version).agg(F.array_sort(F.collect_list(F.struct(*_STEP_FIELDS))).alias("steps"))
+    kind = dict(listed.dtypes)["steps"]
+    out = found.versions.select(*version, "version_no").join(listed, version, "left").withColumn("steps", F.coalesce("steps", F.array().cast(kind)))
+    if found.known is None:
+        return out
+    return found.known.select(out.columns).unionByName(out.join(found.known.select(*version), version, "left_anti"))
 
 
 # ---------------------------------------------------------------- results
@@ -383,10 +436,10 @@ def version_report(found: Drift) -> DataFrame:
     return found.versions.select("attack_name", "fingerprint", "version_no", "n_sections").join(found.steps, ["attack_name", "fingerprint"]).drop("fingerprint", "step_no")
 
 
-def _cast(value: Column, kind: str) -> Column:
+def _cast(value: Column, kind: str, whole: bool = False) -> Column:
     """JSON text as the type of the reference; what cannot be cast becomes null."""
     text = F.regexp_replace(value, r'^"|"$', "")
-    number = lambda c: c.try_cast("double")
+    number = lambda c: c.try_cast("bigint" if whole else "double")
     flag = lambda c: F.when(F.lower(c).isin("true", "1", "1.0"), True).when(F.lower(c).isin("false", "0", "0.0"), False)
     if kind.startswith("array"):
         items = F.when(F.substring(value, 1, 1) == "[", F.from_json(value, "array<string>")).when(value != "null", F.array(text))
@@ -405,14 +458,17 @@ def consistent_table(found: Drift) -> DataFrame:
     values are cast where they can be. Paths of one name in several attacks are one column.
     """
     moved = found.steps.filter("change_kind = 'renamed'").select("attack_name", "fingerprint", F.col("from_path").alias("path"), F.col("field_path").alias("listed_path"))
-    values = found.judged.select("attack_name", "log_id", "fingerprint", F.explode("fields").alias("f")).select("attack_name", "log_id", "fingerprint", "f.path", "f.value")
+    values = found.judged.select("attack_name", "log_id", "fingerprint", F.explode("fields").alias("f")).select("attack_name", "log_id", "fingerprint", "f.path", "f.value", "f.whole")
     values = values.join(broadcast_if_small(moved), ["attack_name", "fingerprint", "path"], "left").withColumn("path", F.coalesce("listed_path", "path"))
     kinds: dict[str, str] = {}
     for paths in found.reference.listed.values():
         for path, (kind, _) in paths.items():
             kinds[path] = kind if kinds.get(path, kind) == kind else "string"
+    # what stands under a path as numbers or as text of numbers must be whole throughout to stay so
+    whole = values.filter(F.col("path").isin(*[p for p, k in kinds.items() if "number" in k])).groupBy("path").agg(F.bool_and(F.coalesce("whole", F.col("value").isin("null", "[]"))).alias("whole"))
+    stays = {r.path for r in whole.filter("whole").collect()}  # paths of the reference
     chosen = [F.max(F.when(F.col("path") == p, F.col("value"))).alias(column_name(p)) for p in kinds]
     wide = values.groupBy("attack_name", "log_id", "fingerprint").agg(*chosen)
     version = found.versions.select("attack_name", "fingerprint", "version_no")
     wide = wide.join(broadcast_if_small(version), ["attack_name", "fingerprint"])
-    return wide.select("attack_name", "log_id", "version_no", *[_cast(F.col(column_name(p)), k).alias(column_name(p)) for p, k in kinds.items()])
+    return wide.select("attack_name", "log_id", "version_no", *[_cast(F.col(column_name(p)), k, p in stays).alias(column_name(p)) for p, k in kinds.items()])

@@ -9,8 +9,10 @@ ordinal, and chosen fields of their ancestors. Parsing and exploding are built-i
 functions over the merged schema.
 
 Defined results: documents that are null or no JSON objects give no rows; fields
-that are absent are null; fields that hold both texts and other scalars become
-texts; where a place holds objects or arrays in some documents and other kinds in
+that are absent are null; whole numbers within 64 bits stay whole, a field that also
+holds others is double, and text (all digits kept) if it holds larger whole numbers;
+fields that hold both texts and other scalars become texts; an object of more than
+MAX_KEYS keys (over all documents: its keys are data) stays JSON text; where a place holds objects or arrays in some documents and other kinds in
 others, it becomes text (the JSON of what was there); null and empty arrays give
 no child rows; null elements of arrays give child rows of nulls; names that clash
 (also by case alone) get a numbered suffix. Keys of parents are those of the root
@@ -31,8 +33,9 @@ from pyspark.sql import types as T
 
 from leakscope.session import cut_lineage
 
-#: A merged schema of more paths than this is refused: it would be keys that are data.
-MAX_PATHS = 20_000
+#: Keys of one object, over all documents, beyond which they are data and the object stays text; paths of a merged schema
+#: beyond which it is refused (no object is that wide then: it would be a table of that many columns).
+MAX_KEYS, MAX_PATHS = 2_000, 20_000
 _ITEM = "\x01"
 _STEP = "\x02"
 
@@ -51,7 +54,9 @@ class Node:
             return T.StructType([T.StructField(k, v.spark_type()) for k, v in self.fields.items()])
         if kinds == {"array"} and self.item is not None:
             return T.ArrayType(self.item.spark_type())
-        if kinds == {"number"}:
+        if kinds == {"integer"}:
+            return T.LongType()
+        if kinds in ({"number"}, {"number", "integer"}):
             return T.DoubleType()
         if kinds == {"boolean"}:
             return T.BooleanType()
@@ -61,9 +66,9 @@ class Node:
 def _kind(value) -> str:
     if value is None:
         return "null"
-    for kind, types in (("boolean", bool), ("number", (int, float)), ("string", str), ("object", dict), ("array", list)):
+    for kind, types in (("boolean", bool), ("integer", int), ("number", float), ("string", str), ("object", dict), ("array", list)):
         if isinstance(value, types):
-            return kind
+            return "huge" if kind == "integer" and not -(2**63) <= value < 2**63 else kind
     return "string"
 
 
@@ -93,7 +98,13 @@ def merged_schema(documents: DataFrame, column: str = "document") -> Node:
                     _paths(value, "", known)
         yield pd.DataFrame(sorted(known), columns=["path", "kind"])
 
-    found = documents.select(column).mapInPandas(run, "path string, kind string").distinct().limit(MAX_PATHS + 1).collect()
+    paths = cut_lineage(documents.select(column).mapInPandas(run, "path string, kind string").distinct())
+    above = F.regexp_extract("path", f"^(.*){_STEP}[^{_STEP}]*$", 1)
+    siblings = paths.filter(~F.col("path").endswith(_STEP + _ITEM) & (F.length("path") > 0)).select("path", above.alias("above")).distinct()
+    wide = siblings.groupBy("above").count().filter(F.col("count") > MAX_KEYS).select("above").limit(MAX_PATHS + 1)
+    for r in wide.collect():  # at most one of MAX_KEYS paths; the first that is wide hides those below it
+        paths = paths.filter(~F.col("path").startswith(r.above + _STEP))
+    found = paths.limit(MAX_PATHS + 1).collect()
     if len(found) > MAX_PATHS:
         raise ValueError(f"more than {MAX_PATHS} paths: keys of these documents are data, make them arrays first")
     root = Node({"object"})
@@ -165,7 +176,7 @@ def flatten(documents: DataFrame, keys: list[str], column: str = "document", sch
         taken = {wanted: places[(wanted,)] for wanted in carry.get(path, []) if (wanted,) in places}
         below = [k for k in kept if k not in ("parent_key", "ordinal", "row_key")]
         for place, name in arrays.items():
-            carried = [F.col(c).cast("bigint").alias(w) if kinds[c] == T.DoubleType() else F.col(c).alias(w) for w, c in taken.items()]
+            carried = [F.col(c).cast("bigint").alias(w) if kinds[c] != T.LongType() else F.col(c).alias(w) for w, c in taken.items()]
             child = df.select(*below, *carried, F.col("row_key").alias("parent_key"), F.posexplode(F.col(name)).alias("ordinal", "node"))
             child = child.withColumn("row_key", F.concat_ws("/", "parent_key", F.lit(".".join(place)), F.col("ordinal").cast("string")))
             explode(child, [*below, *taken, "parent_key", "ordinal", "row_key"], kinds[name].elementType, ".".join([*filter(None, [path]), *place]))

@@ -119,18 +119,26 @@ def entries(block) -> list[dict]:
     return [{k: v[i] for k, v in columns.items() if i < len(v)} for i in range(size)]
 
 
+def _with_own(fields: dict, made: dict) -> dict:
+    """Fields beside those made here; a field of the same name goes on as own_<name>."""
+    return {f"own_{k}" if k in made else k: v for k, v in fields.items()} | made
+
+
 def regular(key: str | None, section: dict) -> dict:
-    """The regular form of a section."""
-    out = {k: v for k, v in section.items() if not k.endswith("_logger") and k not in ("metadata", "log_id")}
+    """The regular form of a section; whatever it holds besides goes along at its place."""
     metadata = unwrapped(section.get("metadata"))
-    out |= {"log_id": log_id(key, section), "metadata": metadata if isinstance(metadata, dict) else None, "experiments": []}
+    runs = []
     for number, logger in experiments(section):
-        runs = []
+        found = []
         for instance_no, instance in instances(logger):
-            plain = {k: v for k, v in instance.items() if k not in ("individual", "instance_no")}
-            runs.append(plain | {"instance_no": instance_no, "entries": entries(instance.get("individual"))})
-        out["experiments"].append({"experiment_no": number, "instances": runs})
-    return out
+            plain = {k: v for k, v in instance.items() if k != "individual"}
+            found.append(_with_own(plain, {"instance_no": instance_no, "entries": entries(instance.get("individual"))}))
+        runs.append(_with_own({k: v for k, v in logger.items() if k != "attack_instance_logger"}, {"experiment_no": number, "instances": found}))
+    opened = {"metadata", "log_id", "dummy_attack_experiments_logger"}
+    if isinstance(unwrapped(section.get("attack_experiment_logger")), dict) or section.get("attack_experiment_logger") is None:
+        opened.add("attack_experiment_logger")
+    made = {"log_id": log_id(key, section), "metadata": metadata if isinstance(metadata, dict) else None, "experiments": runs}
+    return _with_own({k: v for k, v in section.items() if k not in opened}, made)
 
 
 def latest_files(files: DataFrame) -> DataFrame:

@@ -55,12 +55,40 @@ def test_flatten_clashes_links_and_mixed_kinds(spark):
     assert set(tables) == {"", "list", "list.deep"}
     root = {r.id: r.asDict() for r in tables[""].collect()}
     assert set(root) >= {0, 1, 2} and root[0]["mix"] == '{"k":1}' and root[1]["mix"] == "5" and root[2]["other"] is True
-    assert {root[0]["a_X"], root[0]["a_x_2"]} == {2.0, "1"}
+    assert {root[0]["a_X"], root[0]["a_x_2"]} == {2, "1"}
     rows = tables["list"].orderBy("ordinal").collect()
     assert [(r.parent_key, r.ordinal, r.v) for r in rows] == [("0", 0, "1"), ("0", 1, "s"), ("0", 2, None)]
     assert [(r.parent_key, r.ordinal, r.value) for r in tables["list.deep"].orderBy("ordinal").collect()] == [(rows[0].row_key, 0, 1.0), (rows[0].row_key, 1, 2.0)]
 
 
+def test_numbers_keep_their_digits(spark):
+    docs = [{"id": 2**53 + 1, "mixed": 2**60, "huge": 10**25 + 1, "list": [2**62 + 1]}, {"id": -1, "mixed": 0.5, "huge": 2, "list": []}]
+    df = spark.createDataFrame([(i, json.dumps(d)) for i, d in enumerate(docs)], "k int, document string")
+    tables = nested.flatten(df, ["k"])
+    first = tables[""].filter("k = 0").first()
+    assert first.id == 2**53 + 1 and first.huge == str(10**25 + 1) and isinstance(first.mixed, float)
+    assert [r.value for r in tables["list"].collect()] == [2**62 + 1]
+
+
+def test_objects_whose_keys_are_data_stay_text(spark, monkeypatch):
+    monkeypatch.setattr(nested, "MAX_KEYS", 20)
+    docs = [{"a": {f"k{i}": {"deep": i}}, "b": {"c": i}, "list": [{"m": {f"x{i}": 1}}]} for i in range(40)]
+    df = spark.createDataFrame([(i, json.dumps(d)) for i, d in enumerate(docs)], "id int, document string")
+    tables = nested.flatten(df, ["id"])
+    row = tables[""].filter("id = 7").first()
+    assert json.loads(row.a) == {"k7": {"deep": 7}} and row.b_c == 7 and set(tables) == {"", "list"}
+    assert json.loads(tables["list"].filter("id = 3").first().m) == {"x3": 1}
+
+
+def test_regular_sections_lose_nothing():
+    odd = {"attack_instance_logger": [{"individual": None, "instance_no": "mine", "entries": 5}], "seconds": 3, "experiment_no": "x"}
+    whole = report_json.regular("a_1", {"experiments": 1, "other_logger": {"z": 2}, "metadata": {}, "attack_experiment_logger": odd})
+    assert whole["own_experiments"] == 1 and whole["other_logger"] == {"z": 2} and whole["log_id"] == "1"
+    run = whole["experiments"][0]
+    assert run["seconds"] == 3 and run["own_experiment_no"] == "x" and run["instances"] == [{"own_instance_no": "mine", "own_entries": 5, "instance_no": 0, "entries": []}]
+    assert report_json.regular("a_1", {"attack_experiment_logger": "no json"})["attack_experiment_logger"] == "no json"
+
+
 def test_metadata_of_sections():
     assert report_json.attack_spelling("lira_x", {"metadata": None}) == "lira" and report_json.log_id("lira_x", {}) == "x"
     assert [k for k, _ in report_json.sections(json.dumps({"gain": float("inf"), "a_1": {"log_id": "1"}, "junk": {"z": 1}}))] == ["a_1"]
@@ -87,6 +115,41 @@ def params(**changed):
     return {k: v for k, v in (base | changed).items() if v != "gone"}
 
 
+def test_long_texts_and_many_forms_are_judged_whole(spark):
+    """Texts that differ after 80 characters, and hundreds of forms of a path, count as they are."""
+    form = lambda i: "x" * 90 + chr(97 + i % 26) + chr(97 + i // 26 % 26) + chr(97 + i // 676)
+    plain = [json.dumps(section(f"p{i}", params=params(out_dir=form(i % 300)), individual=None)) for i in range(600)]
+    same = [json.dumps(section(f"s{i}", params=params(out_dir="gone", dest=form(i)), individual=None)) for i in range(3)]
+    unlike = [json.dumps(section(f"u{i}", params=params(out_dir="gone", note="x" * 90 + "0" * i), individual=None)) for i in range(3)]
+    got = {(r.log_id, r.field_path, r.change_kind) for r in drift.changes(drifted(spark, plain + same + unlike)).collect()}
+    path = "metadata.params.out_dir"
+    assert {(f"s{i}", path, "renamed") for i in range(3)} <= got and {(f"u{i}", path, "removed") for i in range(3)} <= got
+
+
+def test_a_registry_keeps_versions_and_steps(spark):
+    first = [json.dumps(section(f"p{i}", params=params(), individual=None)) for i in range(20)] + [json.dumps(section("r", params=params(p_thresh="gone", cut=0.05), individual=None))]
+    found = drifted(spark, first)
+    known = drift.registry(found)
+    rows = {(r.attack_name, r.fingerprint): (r.version_no, r.steps) for r in known.collect()}
+    # in the second batch the new name of before stands beside the listed one, so it would be an addition
+    second = [json.dumps(section(f"q{i}", params=params(cut=0.5), individual=None)) for i in range(20)] + [json.dumps(section("r2", params=params(p_thresh="gone", cut=0.05), individual=None))]
+    fields = spark.createDataFrame(REFERENCE, "attack_name string, field_path string, json_type string, is_required boolean")
+    names = spark.createDataFrame([("LiRA Attack", "LiRA Attack")], "spelling string, attack_name string")
+    again = drift.drift(files(spark, second), fields, names, known)
+    now = {(r.attack_name, r.fingerprint): (r.version_no, r.steps) for r in drift.registry(again).collect()}
+    assert all(now[k] == v for k, v in rows.items()) and len(now) == len(rows) + 1
+    assert sorted(v for v, _ in now.values()) == list(range(1, len(now) + 1))
+    of = lambda d, log: {(r.field_path, r.change_kind) for r in drift.changes(d).filter(f"log_id = '{log}'").collect()}
+    assert of(again, "r2") == of(found, "r") and of(again, "q1") == {("metadata.params.cut", "added")}
+
+
+def test_whole_numbers_stay_whole(spark):
+    rows = [json.dumps(section(f"w{i}", params=params(extra=2**53 + 1 + i), individual={"member_prob": [1, 0.5]})) for i in range(3)]
+    table = drift.consistent_table(drifted(spark, rows))
+    assert {r.metadata_params_extra for r in table.collect()} == {2**53 + 1, 2**53 + 2, 2**53 + 3}
+    assert table.filter("log_id = 'w0'").first().individual_member_prob == [1.0, 0.5]
+
+
 def test_every_kind_of_change(spark):
     plain = [json.dumps(section(f"p{i}", params=params(out_dir=f"out/run_{i}"), individual={"member_prob": [0.1, None]})) for i in range(60)]
     added = [json.dumps(section(f"a{i}", params=params(seconds=float(i)), individual=None)) for i in range(5)]
