@@ -24,7 +24,8 @@ def class_prob(probs: Column, y: Column) -> Column:
 
 def hinge(probs: Column, y: Column) -> Column:
     """logit of the true class less the largest logit of the others; null with fewer than two classes."""
-    others = F.array_max(F.transform(F.filter(probs, lambda p, i: i != y.cast("int")), logit))
+    # the logit grows with the probability, so the largest logit is that of the largest probability
+    others = logit(F.array_max(F.filter(probs, lambda p, i: i != y.cast("int"))))
     return F.when(F.size(probs) >= 2, logit(class_prob(probs, y)) - others)
 
 
@@ -99,7 +100,8 @@ def finite_or_null(c: Column) -> Column:
 
 
 def softmax(values: Column) -> Column:
-    """Probabilities of an array of scores."""
-    shifted = F.transform(values, lambda x: F.exp(x - F.array_max(values)))
-    total = F.aggregate(shifted, F.lit(0.0), lambda s, x: s + x)
-    return F.transform(shifted, lambda x: x / total)
+    """Probabilities of an array of scores; maximum and total are bound once, not sought again for every element."""
+    bound = lambda value, then: F.transform(F.array(value), then)[0]
+    total = lambda shifted: F.aggregate(shifted, F.lit(0.0), lambda s, x: s + x)
+    shifted = bound(F.array_max(values), lambda top: F.transform(values, lambda x: F.exp(x - top)))
+    return bound(shifted, lambda e: bound(total(e), lambda t: F.transform(e, lambda x: x / t)))

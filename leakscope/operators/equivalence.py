@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leakscope.functions.exprs import near_zero
-from leakscope.session import broadcast_if_small
+from leakscope.session import small_side
 
 #: Records of a class below which it is at risk.
 THRESHOLD = 10
@@ -44,7 +44,7 @@ def record_risks(df: DataFrame, key: str | list[str], probs: str = "probs", reco
     """(record, k_anonymity, class_disclosure, smallgroup_risk) of every record."""
     keys = [key] if isinstance(key, str) else list(key)
     risks = class_risks(classes(df, keys, probs, record), threshold).drop("class_probs")
-    return df.select(record, *keys).join(broadcast_if_small(risks), keys).select(record, F.col("k").alias("k_anonymity"), "class_disclosure", "smallgroup_risk")
+    return df.select(record, *keys).join(small_side(risks), keys).select(record, F.col("k").alias("k_anonymity"), "class_disclosure", "smallgroup_risk")
 
 
 def global_risks(found: DataFrame, threshold: int = THRESHOLD) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leakscope.functions.exprs import EPS_META, clip01
+from leakscope.session import latest_rows
 
 SCORE_THRESHOLD, K_THRESHOLD = 0.5, 10
 
@@ -32,9 +33,13 @@ def repetitions(scores: DataFrame, threshold: float = SCORE_THRESHOLD) -> DataFr
 
 
 def structural_repetitions(structural: DataFrame, k_threshold: int = K_THRESHOLD) -> DataFrame:
-    """(record_id, struct_k, struct_cd, struct_sg, struct_vuln): k is the rounded mean, a flag holds if more than half do."""
+    """(record_id, struct_k, struct_cd, struct_sg, struct_vuln): k is the rounded mean, a flag holds if more than half do.
+
+    Rows delivered more than once (if there is ingested_at) count once, as received last.
+    """
     most = lambda c: F.avg(F.col(c).cast("double")) > 0.5
-    out = structural.groupBy("record_id").agg(F.bround(F.avg("k_anonymity")).cast("int").alias("struct_k"), most("class_disclosure").alias("struct_cd"), most("smallgroup_risk").alias("struct_sg"))
+    rows = structural if "ingested_at" not in structural.columns else latest_rows(structural.select("log_id", "record_id", "ingested_at", "k_anonymity", "class_disclosure", "smallgroup_risk"), ["log_id", "record_id"])
+    out = rows.groupBy("record_id").agg(F.bround(F.avg("k_anonymity")).cast("int").alias("struct_k"), most("class_disclosure").alias("struct_cd"), most("smallgroup_risk").alias("struct_sg"))
     return out.withColumn("struct_vuln", (F.col("struct_k") < k_threshold) | F.col("struct_cd") | F.col("struct_sg"))
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from leakscope.functions.exprs import ratio, safe_div
 from leakscope.functions.stats import neg_log, upper_ps
-from leakscope.session import broadcast_if_small, cut_lineage
+from leakscope.session import broadcast_if_small, cut_lineage, small_side
 
 #: Shares of outermost records, and the false-positive rates (in percent) at which the ROC is read.
 SHARES = {"01": 0.1, "02": 0.2, "001": 0.01}
@@ -40,8 +40,8 @@ def from_score_array(df: DataFrame, keys: list[str], record: str, member: Column
     """`scored` from an array of two scores; any other shape is an error."""
     kind = dict(df.dtypes)[scores]
     if not kind.startswith("array"):
-        raise ValueError("y_pred must be an array of floats of shape [x,2]")
-    checked = F.when(F.size(scores) == 2, F.col(scores)).otherwise(F.raise_error(F.lit("Metrics for multiclass classification are unsupported")).cast("array<double>"))
+        raise ValueError(f"y_pred: column {scores} holds no arrays of two scores")
+    checked = F.when(F.size(scores) == 2, F.col(scores)).otherwise(F.raise_error(F.lit("multiclass scores are unsupported: two scores per record are needed")).cast("array<double>"))
     df = df.withColumn("two_scores", checked)
     return scored(df, keys, record, member, F.col("two_scores")[0], F.col("two_scores")[1])
 
@@ -83,26 +83,31 @@ def score_counts(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys, "s1").agg(F.sum("is_member").alias("p"), F.sum(1 - F.col("is_member")).alias("n"))
 
 
-def running_counts(counts: DataFrame, keys: list[str], one_window: int = ONE_WINDOW, ranges: int = RANGES) -> DataFrame:
-    """counts with cum_p, cum_n (from the highest score down, inclusive), total_p, total_n."""
+def running_counts(counts: DataFrame, keys: list[str], one_window: int = ONE_WINDOW, ranges: int = RANGES, score: str = "s1") -> DataFrame:
+    """counts with cum_p, cum_n (from the highest score down, inclusive), total_p, total_n. Read several times: hand over a written frame."""
     totals = counts.groupBy(*keys).agg(F.sum("p").alias("total_p"), F.sum("n").alias("total_n"), F.count(F.lit(1)).alias("n_scores"))
     most = totals.agg(F.max("n_scores")).first()[0] or 0
-    down = lambda *by: Window.partitionBy(*by).orderBy(F.desc("s1")).rowsBetween(Window.unboundedPreceding, 0)
+    down = lambda *by: Window.partitionBy(*by).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
     if most <= one_window:
         out = counts.withColumns({"cum_p": F.sum("p").over(down(*keys)), "cum_n": F.sum("n").over(down(*keys))})
         whole = Window.partitionBy(*keys)
         return out.withColumns({"total_p": F.sum("p").over(whole), "total_n": F.sum("n").over(whole)})
     # two levels: ranges of about equal numbers of scores, then the sums of the ranges above
     steps = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
-    cuts = cut_lineage(counts.groupBy(*keys).agg(F.percentile_approx("s1", steps, 10 * ranges).alias("cuts")))
-    placed = counts.join(broadcast_if_small(cuts), keys).withColumn("range_no", F.size(F.filter("cuts", lambda c: c < F.col("s1")))).drop("cuts")
+    cuts = counts.groupBy(*keys).agg(F.percentile_approx(score, steps, 10 * ranges).alias("cuts"))
+    placed = _joined(counts, cuts, keys).withColumn("range_no", F.size(F.filter("cuts", lambda c: c < F.col(score)))).drop("cuts")
     sums = placed.groupBy(*keys, "range_no").agg(F.sum("p").alias("range_p"), F.sum("n").alias("range_n"))
     above = Window.partitionBy(*keys).orderBy(F.desc("range_no")).rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(*keys, "range_no", F.coalesce(F.sum("range_p").over(above), F.lit(0)).alias("above_p"), F.coalesce(F.sum("range_n").over(above), F.lit(0)).alias("above_n"))
-    out = placed.join(broadcast_if_small(sums), [*keys, "range_no"])
+    out = placed.join(small_side(sums), [*keys, "range_no"])
     local = down(*keys, "range_no")
     out = out.withColumns({"cum_p": F.col("above_p") + F.sum("p").over(local), "cum_n": F.col("above_n") + F.sum("n").over(local)})
-    return out.join(broadcast_if_small(totals.drop("n_scores")), keys).select(*keys, "s1", "p", "n", "cum_p", "cum_n", "total_p", "total_n")
+    return _joined(out, totals.drop("n_scores"), keys).select(*keys, score, "p", "n", "cum_p", "cum_n", "total_p", "total_n")
+
+
+def _joined(df: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
+    """df with the columns of one row per run."""
+    return df.join(small_side(small), keys) if keys else df.crossJoin(F.broadcast(small))
 
 
 def _area() -> Column:
@@ -111,17 +116,20 @@ def _area() -> Column:
     return F.bround(F.sum(F.col("n") * (F.col("cum_p") - F.col("p") / 2.0)) / F.when(pairs > 0, pairs), 8)
 
 
-def auc(running: DataFrame, keys: list[str]) -> DataFrame:
-    """Exact area under the ROC, ties counting half; null without members or non-members."""
-    return running.groupBy(*keys).agg(_area().alias("auc"))
+def auc(running: DataFrame, keys: list[str], counts: bool = False) -> DataFrame:
+    """Exact area under the ROC, ties counting half; null without members or non-members. With counts also n_pos and n_neg."""
+    more = [F.max("total_p").alias("n_pos"), F.max("total_n").alias("n_neg")] if counts else []
+    return running.groupBy(*keys).agg(_area().alias("auc"), *more)
 
 
 def roc(running: DataFrame, keys: list[str], drop_collinear: bool = True) -> DataFrame:
     """(keys, fpr, tpr, threshold) of every vertex; (0, 0) with threshold 1 first. Collinear vertices are dropped."""
-    order = Window.partitionBy(*keys).orderBy(F.desc("s1"))
-    kept = running.withColumns({"next_p": F.lead("p").over(order), "next_n": F.lead("n").over(order), "place": F.row_number().over(order)})
+    # the score below is the one whose rows begin where those of this one end: a join instead of a window over the run
+    size, upto = F.col("p") + F.col("n"), F.col("cum_p") + F.col("cum_n")
+    below = running.select(*keys, (upto - size).alias("upto"), F.col("p").alias("next_p"), F.col("n").alias("next_n"))
+    kept = running.withColumn("upto", upto).join(below, [*keys, "upto"], "left")
     if drop_collinear:
-        kept = kept.filter((F.col("place") == 1) | F.col("next_p").isNull() | (F.col("next_p") != F.col("p")) | (F.col("next_n") != F.col("n")))
+        kept = kept.filter((F.col("upto") == size) | F.col("next_p").isNull() | (F.col("next_p") != F.col("p")) | (F.col("next_n") != F.col("n")))
     rate = lambda c, of: F.col(c) / F.when(F.col(of) > 0, F.col(of))
     vertices = kept.select(*keys, rate("cum_n", "total_n").alias("fpr"), rate("cum_p", "total_p").alias("tpr"), F.col("s1").alias("threshold"))
     start = running.select(*keys).distinct().select(*keys, F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"), F.lit(1.0).alias("threshold"))
@@ -156,17 +164,29 @@ def outermost(df: DataFrame, running: DataFrame, keys: list[str], shares: dict[s
         }
     )
     both = both.withColumn("up", F.col("whole") - F.col("down") + F.col("size"))
+    # only scores that some share reaches from either side go on
+    most = F.ceil(F.col("whole") * max(shares.values()))
+    outer = both.filter((F.col("down") - F.col("size") < most) | (F.col("up") - F.col("size") < most))
     wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("share"), F.lit(x).alias("x"), F.lit(side).alias("side")) for name, x in shares.items() for side in ("max", "min")]))
-    cut = both.select(*keys, "s1", "p", "size", "down", "up", "whole", wanted.alias("w")).select("*", "w.*").drop("w")
+    cut = outer.select(*keys, "s1", "p", "size", "down", "up", "whole", wanted.alias("w")).select("*", "w.*").drop("w")
     reach = F.when(F.col("side") == "max", F.col("down")).otherwise(F.col("up"))
     cut = cut.withColumns({"k": F.ceil(F.col("whole") * F.col("x")), "reach": reach})
-    cut = cut.filter(F.col("reach") - F.col("size") < F.col("k"))
+    cut = cut_lineage(cut.filter(F.col("reach") - F.col("size") < F.col("k")).drop("down", "up", "whole", "x"))
     full = cut.groupBy(*keys, "share", "side").agg(F.max("k").alias("k"), F.sum(F.when(F.col("reach") <= F.col("k"), F.col("p")).otherwise(0)).alias("members"))
-    ties = cut.filter(F.col("reach") > F.col("k")).select(*keys, "s1", "share", "side", (F.col("k") - F.col("reach") + F.col("size")).alias("room"))
-    inside = df.join(broadcast_if_small(ties), [*keys, "s1"])
-    by = Window.partitionBy(*keys, "share", "side").orderBy(F.when(F.col("side") == "max", -F.col("record_id")).otherwise(F.col("record_id")))
-    inside = inside.withColumn("place", F.row_number().over(by)).filter(F.col("place") <= F.col("room"))
-    some = inside.groupBy(*keys, "share", "side").agg(F.sum("is_member").alias("tied"))
+    ties = cut.filter(F.col("reach") > F.col("k")).select(*keys, "s1", "share", "side", "size", (F.col("k") - F.col("reach") + F.col("size")).alias("room"))
+    largest = ties.agg(F.max("size")).first()[0] or 0
+    inside = df.select(*keys, "s1", "record_id", "is_member").join(broadcast_if_small(ties), [*keys, "s1"])
+    own = [*keys, "share", "side"]
+    first = F.when(F.col("side") == "max", F.col("record_id")).otherwise(-F.col("record_id"))
+    if largest <= ONE_WINDOW:
+        inside = inside.withColumn("place", F.row_number().over(Window.partitionBy(*own).orderBy(first.desc()))).filter(F.col("place") <= F.col("room"))
+        some = inside.groupBy(*own).agg(F.sum("is_member").alias("tied"))
+    else:
+        # a tie of very many records is ordered by running counts over ranges of record_id
+        counts = inside.groupBy(*own, first.alias("first")).agg(F.sum("is_member").alias("p"), F.sum(1 - F.col("is_member")).alias("n"))
+        ordered = running_counts(cut_lineage(counts), own, score="first").join(broadcast_if_small(ties.select(*own, "room")), own)
+        left = F.col("room") - (F.col("cum_p") + F.col("cum_n") - F.col("p") - F.col("n"))
+        some = ordered.filter(left > 0).groupBy(*own).agg(F.sum(F.least(F.col("p"), left)).alias("tied"))
     freq = full.join(some, [*keys, "share", "side"], "left").withColumn("freq", (F.col("members") + F.coalesce("tied", F.lit(0))) / F.col("k"))
     pick = lambda share, side: F.max(F.when((F.col("share") == share) & (F.col("side") == side), F.col("freq")))
     out = freq.groupBy(*keys).agg(*[pick(s, side).alias(f"f{side}{s}") for s in shares for side in ("max", "min")])
@@ -241,12 +261,18 @@ def mean_roc(running: DataFrame, run_keys: list[str], group_keys: list[str], poi
     Each vertex meets only the grid points up to the next vertex, so the work is the
     vertices plus points per run, not their product.
     """
+    start = running.groupBy(*run_keys).agg(F.max("total_p").alias("total_p"), F.max("total_n").alias("total_n")).withColumns({"cum_p": F.lit(0), "cum_n": F.lit(0)})
+    columns = [*run_keys, "cum_p", "cum_n", "total_p", "total_n"]
+    vertices = running.select(*columns).unionByName(start.select(*columns)).groupBy(*run_keys, "cum_n").agg(
+        F.min("cum_p").alias("from_p"), F.max("cum_p").alias("cum_p"), F.max(F.col("cum_p") + F.col("cum_n")).alias("upto"), F.max("total_p").alias("total_p"), F.max("total_n").alias("total_n")
+    )
+    # the next vertex begins with the score whose rows begin where those of this vertex end
+    begins = (F.col("cum_p") + F.col("cum_n") - F.col("p") - F.col("n")).alias("upto")
+    below = running.select(*run_keys, begins, F.col("cum_p").alias("next_p"), F.col("cum_n").alias("next_n"))
     rate = lambda c, of: F.col(c) / F.when(F.col(of) > 0, F.col(of))
-    start = running.groupBy(*run_keys).agg(F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
-    vertices = running.select(*run_keys, rate("cum_n", "total_n").alias("fpr"), rate("cum_p", "total_p").alias("tpr")).unionByName(start)
-    vertices = vertices.groupBy(*run_keys, "fpr").agg(F.min("tpr").alias("from_tpr"), F.max("tpr").alias("tpr"))
-    order = Window.partitionBy(*run_keys).orderBy("fpr")
-    nexts = vertices.withColumns({"next_fpr": F.lead("fpr").over(order), "next_tpr": F.lead("from_tpr").over(order)})
+    nexts = vertices.join(below, [*run_keys, "upto"], "left").select(
+        *run_keys, rate("cum_n", "total_n").alias("fpr"), rate("cum_p", "total_p").alias("tpr"), rate("next_n", "total_n").alias("next_fpr"), rate("next_p", "total_p").alias("next_tpr")
+    )
     step = points - 1
     first = F.ceil(F.round(F.col("fpr") * step, 9))
     last = F.when(F.col("next_fpr").isNull(), F.lit(step)).otherwise(F.ceil(F.round(F.col("next_fpr") * step, 9)) - 1)

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leakscope.session import broadcast_if_small
+from leakscope.session import small_side
 
 #: The hash is ranked in this many buckets before rows of one bucket are ranked themselves.
 BUCKETS = 4_096
@@ -38,7 +38,7 @@ def hash_sample(df: DataFrame, groups: list[str], n: Column, record: str, seed:
     upto = Window.partitionBy(*groups).orderBy("sample_bucket").rowsBetween(Window.unboundedPreceding, 0)
     counts = counts.withColumn("upto", F.sum("bucket_rows").over(upto))
     cut = counts.filter(F.col("upto") - F.col("bucket_rows") < F.col("bucket_n")).withColumn("room", F.col("bucket_n") - F.col("upto") + F.col("bucket_rows"))
-    kept = hashed.join(broadcast_if_small(cut.select(*groups, "sample_bucket", "room", "bucket_rows")), [*groups, "sample_bucket"])
+    kept = hashed.join(small_side(cut.select(*groups, "sample_bucket", "room", "bucket_rows")), [*groups, "sample_bucket"])
     whole = kept.filter(F.col("room") >= F.col("bucket_rows"))
     part = kept.filter(F.col("room") < F.col("bucket_rows"))
     place = F.row_number().over(Window.partitionBy(*groups, "sample_bucket").orderBy("sample_hash", record))
@@ -59,7 +59,7 @@ def stratified_split(df: DataFrame, strata: list[str], test_share: float, record
     """df with in_test: the ceil(share) rows of smallest hash of each stratum (within each group)."""
     keys = [*(groups or []), *strata]
     sizes = df.filter(F.col(record).isNotNull()).groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) * test_share).alias("stratum_n"))
-    sized = df.join(broadcast_if_small(sizes), keys)
+    sized = df.join(small_side(sizes), keys)
     test = hash_sample(sized, keys, F.col("stratum_n"), record, seed).select(*(groups or []), record).withColumn("in_test", F.lit(True))
     return df.join(test, [*(groups or []), record], "left").withColumn("in_test", F.coalesce("in_test", F.lit(False)))
 

@@ -7,9 +7,12 @@ without p-values has zero counts.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leakscope.operators import metrics
+from leakscope.session import cut_lineage
+
 P_THRESH = 0.05
 #: Shares and bounds of the recommendation.
 SIGNIFICANT_SHARE, MEAN_AUC, MIN_LEAF = 0.1, 0.65, 5
@@ -18,19 +21,23 @@ INSTANCE_MODELS = {"SVC": "Model is SVM", "KNeighborsClassifier": "Model is kNN"
 
 def corrected(instances: DataFrame, keys: list[str], p: str = "p_higher_auc", alpha: float = P_THRESH) -> DataFrame:
     """Counts of significant p-values: uncorrected, step-up (largest rank that passes), rank by rank, and Bonferroni."""
-    ordered = instances.filter(F.col(p).isNotNull())
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(p))
-    m = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    ordered = ordered.withColumns({"rank_no": rank, "m": m})
-    passes = F.col(p) <= F.col("rank_no") / F.col("m") * alpha
-    counts = ordered.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_total"),
-        F.count_if(F.col(p) <= alpha).alias("n_significant"),
-        F.coalesce(F.max(F.when(passes, F.col("rank_no"))), F.lit(0)).alias("n_step_up"),
-        F.count_if(passes).alias("n_bh"),
-        F.count_if(F.col(p) <= alpha / F.col("m")).alias("n_bonferroni"),
+    # ranks come from counts of distinct values: a value with n rows holds the ranks last - n + 1 .. last
+    counts = instances.groupBy(*keys, F.col(p).cast("double").alias("value")).agg(F.count(p).alias("n_rows"))
+    known = counts.filter("value is not null").select(*keys, (-F.col("value")).alias("s1"), F.col("n_rows").alias("p"), F.lit(0).cast("bigint").alias("n"))
+    ranked = metrics.running_counts(cut_lineage(known), keys).select(*keys, (-F.col("s1")).alias("value"), F.col("p").alias("n"), F.col("cum_p").alias("last"), F.col("total_p").alias("m"))
+    value, m = F.col("value"), F.col("m")
+    passes = lambda rank: value <= rank / m * alpha
+    near = F.ceil(value * m / alpha)
+    least = F.when(passes(near - 1), near - 1).when(passes(near), near).otherwise(near + 1)  # the first rank that passes, rounding aside
+    passing = F.greatest(F.lit(0), F.col("last") - F.greatest(least, F.col("last") - F.col("n") + 1) + 1)
+    sums = ranked.groupBy(*keys).agg(
+        F.sum("n").alias("n_total"),
+        F.sum(F.when(value <= alpha, F.col("n")).otherwise(0)).alias("n_significant"),
+        F.coalesce(F.max(F.when(passing > 0, F.col("last"))), F.lit(0)).alias("n_step_up"),
+        F.sum(passing).alias("n_bh"),
+        F.sum(F.when(value <= alpha / m, F.col("n")).otherwise(0)).alias("n_bonferroni"),
     )
-    return instances.select(*keys).distinct().join(counts, keys, "left").fillna(0)
+    return counts.select(*keys).distinct().join(sums, keys, "left").fillna(0)
 
 
 def univariate(instances: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:

@@ -7,11 +7,12 @@ the defaults of their model type.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leakscope.functions.stats import kolmogorov_p
-from leakscope.operators import equivalence
+from leakscope.operators import equivalence, metrics
+from leakscope.session import cut_lineage
 
 DOF_THRESHOLD, ALPHA = 10, 0.05
 
@@ -89,11 +90,11 @@ def ks_statistic(df: DataFrame, value: str, keys: list[str] | None = None) -> Da
     """Largest distance between the distributions of a value in the two splits; counted by distinct value."""
     keys = list(keys or [])
     counts = df.dropna(subset=[value, "is_member"]).groupBy(*keys, value).agg(F.sum("is_member").alias("p"), F.sum(1 - F.col("is_member")).alias("n"))
-    upto = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*keys)
-    both = counts.withColumns({"up": F.sum("p").over(upto), "un": F.sum("n").over(upto), "tp": F.sum("p").over(whole), "tn": F.sum("n").over(whole)})
-    gap = F.abs(F.col("up") / F.when(F.col("tp") > 0, F.col("tp")) - F.col("un") / F.when(F.col("tn") > 0, F.col("tn")))
-    return both.groupBy(*keys).agg(F.max(gap).alias("ks_stat"), F.max("tp").alias("n_train"), F.max("tn").alias("n_test"))
+    # running counts come from the largest value down; the distance is the same from either end
+    both = metrics.running_counts(cut_lineage(counts), keys, score=value)
+    share = lambda c, of: F.col(c) / F.when(F.col(of) > 0, F.col(of))
+    gap = F.abs(share("cum_p", "total_p") - share("cum_n", "total_n"))
+    return both.groupBy(*keys).agg(F.max(gap).alias("ks_stat"), F.max("total_p").alias("n_train"), F.max("total_n").alias("n_test"))
 
 
 def ks_test(df: DataFrame, value: str, keys: list[str] | None = None, alpha: float = ALPHA) -> DataFrame:

@@ -91,7 +91,7 @@ def m_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _running(df: DataFrame, keys: list[str]) -> DataFrame:
-    return metrics.running_counts(metrics.score_counts(df, keys), keys)
+    return metrics.running_counts(cut_lineage(metrics.score_counts(df, keys)), keys)
 
 
 @query("WITH" + RUNNING_SQL.format(**ORDERS) + " SELECT priority, round(sum(n * (cum_p - p / 2)) / (max(total_p) * max(total_n)), 6) AS auc FROM running GROUP BY priority", ("audit_orders",))
@@ -247,8 +247,7 @@ def member_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def m_auc_of_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = ["target_id", "attack_name"]
     running = _running(member_runs(spark, sf_dir), keys)
-    area = metrics.auc(running, keys).join(running.groupBy(*keys).agg(F.max("total_p").alias("n_pos"), F.max("total_n").alias("n_neg")), keys)
-    return rounded(area.select(*keys, "n_pos", "n_neg", "auc"))
+    return rounded(metrics.auc(running, keys, counts=True).select(*keys, "n_pos", "n_neg", "auc"))
 
 
 @query(
@@ -562,7 +561,7 @@ reps AS (
     avg(CAST(greatest(0, least(1, s1)) > 0.5 AS INTEGER)) AS consistency FROM member_runs GROUP BY ALL),
 structured AS (
   SELECT record_id, CAST(round_even(avg(k_anonymity), 0) AS INTEGER) AS struct_k, avg(CAST(class_disclosure AS INTEGER)) > 0.5 AS struct_cd, avg(CAST(smallgroup_risk AS INTEGER)) > 0.5 AS struct_sg
-  FROM structural_records GROUP BY record_id) """
+  FROM (SELECT * FROM structural_records QUALIFY row_number() OVER (PARTITION BY log_id, record_id ORDER BY ingested_at DESC) = 1) GROUP BY record_id) """
 )
 
 

@@ -75,6 +75,14 @@ def test_two_levels_equal_one_window(spark):
     assert one == two
 
 
+def test_large_ties_equal_small_ones(spark, monkeypatch):
+    df = frame(spark, [(int(i % 3 == 0), 0.0, float(i % 4 == 0)) for i in range(200)])
+    running = metrics.running_counts(metrics.score_counts(df, ["run"]), ["run"])
+    small = metrics.outermost(df, running, ["run"]).collect()
+    monkeypatch.setattr(metrics, "ONE_WINDOW", 1)
+    assert metrics.outermost(df, running, ["run"]).collect() == small
+
+
 def test_all_runs_at_once_and_order(spark):
     both = frame(spark, SIX).unionByName(frame(spark, [(y, s1, s0) for y, s0, s1 in SIX], "b"))
     out = {r.run: r.auc for r in metrics.metrics(both.orderBy("s1"), ["run"], p_values=False).collect()}
