@@ -34,7 +34,7 @@ def run_lira(records: DataFrame, model: str = "RandomForestClassifier", n_shadow
 
 
 def run_qmia(records: DataFrame, alpha: float = qmia.ALPHA, **params) -> DataFrame:
-    placed = qmia.margins(qmia.quantile_forest(qmia.hinge_scores(records), alpha, **params)).withColumn("run", F.lit("qmia"))
+    placed = qmia.margins(qmia.quantile_tree(qmia.hinge_scores(records), alpha, **params)).withColumn("run", F.lit("qmia"))
     return metrics.metrics(metrics.scored(placed, ["run"], "record_id", F.col("is_member"), F.col("s0"), F.col("s1")), ["run"])
 
 

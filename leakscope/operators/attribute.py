@@ -3,12 +3,15 @@
 Candidates are few (the distinct values of one feature, or a grid), so each sample
 is exploded over an array literal of them; no table is crossed with another.
 
-Defined results: samples without features are left out; a feature without values
+Defined results: samples without features are left out, and so are samples whose
+value is missing where a grid is swept; a feature without values
 gives no rows; the baseline of a feature with null values counts them as a value.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,6 +83,26 @@ def risk_totals(inferred: DataFrame, keys: list[str] | None = None) -> DataFrame
     return inferred.groupBy(*(keys or []), "is_member").agg(F.count_if("correct").alias("n_correct"), F.count_if("inferred").alias("n_inferred"), F.count(F.lit(1)).alias("n_records"))
 
 
+def risk_report(inferred: DataFrame, records: DataFrame, feature: Column, keys: list[str] | None = None) -> DataFrame:
+    """risk_totals with the baseline (percent of the most frequent value) and number of values of the feature in the split."""
+    own = [*(keys or []), "is_member"]
+    base = baseline(records, feature, own).drop("n_rows")
+    return risk_totals(inferred, keys).join(base, own, "left")
+
+
+def swept_risk(rows: DataFrame, score: Callable[[Column], Column], low: Column, high: Column, n_points: int = GRID, limit: float = LIMIT) -> DataFrame:
+    """rows (with actual, null where it is missing) with at_risk: a grid from low to high is scored within its row, so nothing is shuffled.
+
+    Missing values are never at risk.
+    """
+    points = F.transform(F.array(F.struct(low.alias("low"), high.alias("high"))), lambda e: linspace(e["low"], e["high"], n_points))[0]
+    swept = rows.withColumn("sweep_points", points)
+    swept = swept.withColumn("sweep_scores", F.transform("sweep_points", score))
+    actual = F.when(~F.isnan("actual"), F.col("actual"))
+    risk = F.when(actual.isNotNull(), bounds_risk(actual, F.col("sweep_points"), F.col("sweep_scores"), score(actual), limit)).otherwise(False)
+    return swept.withColumn("at_risk", risk).drop("sweep_points", "sweep_scores")
+
+
 def bounds_risk(actual: Column, points: Column, scores: Column, actual_score: Column, limit: float = LIMIT) -> Column:
     """At risk: the true value has the peak confidence, and all peak values lie within limit of it (negative values never)."""
     peak = F.array_max(scores)
@@ -90,7 +113,9 @@ def bounds_risk(actual: Column, points: Column, scores: Column, actual_score: Co
 
 def quantitative_attack(records: DataFrame, model, index: int, n_points: int = GRID, limit: float = LIMIT) -> DataFrame:
     """(record_id, is_member, at_risk): the grid between the feature's smallest and largest value swept for every record."""
-    rows = records.filter("features is not null").withColumn("actual", F.get("features", F.lit(index)))
+    value = F.get("features", F.lit(index))
+    # a missing value has no bounds: it must not stretch the grid, and the sweep says nothing of it
+    rows = records.filter("features is not null").withColumn("actual", F.when(~F.isnan(value), value)).filter("actual is not null")
     ends = rows.agg(F.min("actual").alias("low"), F.max("actual").alias("high"))
     rows = models.score(model, rows).withColumn("label", F.col("prediction")).withColumn("actual_score", F.get("probs", F.col("label"))).drop("probs", "prediction")
     rows = rows.crossJoin(F.broadcast(ends)).withColumn("points", linspace(F.col("low"), F.col("high"), n_points))

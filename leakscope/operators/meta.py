@@ -10,6 +10,8 @@ vulnerable; structural results exist for members only.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -86,3 +88,26 @@ def as_scored(wide: DataFrame, keys: dict | None = None) -> DataFrame:
 def missing_runs(wanted: DataFrame, cached: DataFrame) -> DataFrame:
     """Runs (target_id, attack) that are wanted and not on file."""
     return wanted.join(cached, ["target_id", "attack"], "left_anti")
+
+
+MODES = ("run_all", "use_existing_only", "fill_missing")
+
+
+def gathered(wanted: DataFrame, cached: DataFrame, run: Callable[[DataFrame], DataFrame] | None = None, mode: str = "fill_missing") -> DataFrame:
+    """Scores (target_id, attack, record_id, is_member, score) of the wanted runs (target_id, attack), from file and from new runs by mode.
+
+    run computes the scores of a frame of runs. use_existing_only leaves runs that are not on file
+    out; fill_missing computes just those; run_all computes all and takes none from file.
+    """
+    if mode not in MODES:
+        raise ValueError(f"unknown mode {mode}; known: {', '.join(MODES)}")
+    columns = ["target_id", "attack", "record_id", "is_member", "score"]
+    wanted = wanted.select("target_id", "attack").distinct()
+    if mode != "use_existing_only" and run is None:
+        raise ValueError(f"mode {mode} needs a way to run attacks")
+    if mode == "run_all":
+        return run(wanted).select(*columns)
+    kept = cached.join(wanted, ["target_id", "attack"], "left_semi").select(*columns)
+    if mode == "use_existing_only":
+        return kept
+    return kept.unionByName(run(missing_runs(wanted, cached.select("target_id", "attack").distinct())).select(*columns))

@@ -280,3 +280,13 @@ def mean_roc(running: DataFrame, run_keys: list[str], group_keys: list[str], poi
     x = F.col("point") / F.lit(float(step))
     y = F.when(F.col("next_fpr").isNull(), F.col("tpr")).otherwise(F.col("tpr") + (x - F.col("fpr")) / (F.col("next_fpr") - F.col("fpr")) * (F.col("next_tpr") - F.col("tpr")))
     return at.select(*run_keys, "point", x.alias("grid_fpr"), y.alias("y")).groupBy(*group_keys, "point", "grid_fpr").agg(F.avg("y").alias("mean_tpr"))
+
+
+def sorted_scores(df: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, is_member, s1, n_records, last_place): scores of either side from the lowest up, with the place of the last record of each, for plots.
+
+    Places come from running counts of distinct scores, so a side of any size is not sorted in one task.
+    """
+    counts = df.groupBy(*keys, "is_member", (-F.col("s1")).alias("s1")).agg(F.count(F.lit(1)).alias("p"), F.lit(0).cast("bigint").alias("n"))
+    ordered = running_counts(cut_lineage(counts), [*keys, "is_member"])
+    return ordered.select(*keys, "is_member", (-F.col("s1")).alias("s1"), F.col("p").alias("n_records"), F.col("cum_p").alias("last_place"))

@@ -10,11 +10,14 @@ import math
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, NaiveBayes, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from leakscope.functions.exprs import argmax, class_prob, logit, loss
 
@@ -124,16 +127,28 @@ def shadow_confidences(records: DataFrame, membership: DataFrame, name: str, par
     return out
 
 
-def fourier_features(df: DataFrame, size: int, gamma: float, seed: int = 0, features: str = "features") -> DataFrame:
-    """df with vec_rff: random Fourier features size^-1/2 [cos, sin] of size directions; directions are few numbers drawn on the driver."""
-    import numpy as np
+def fourier_features(df: DataFrame, size: int, gamma: float, seed: int = 0, features: str = "features", rho: list[list[float]] | None = None) -> DataFrame:
+    """df with vec_rff: random Fourier features size^-1/2 [cos, sin] of size directions (rho, else drawn on the driver); missing values are 0.
 
-    width = df.select(F.max(F.size(features))).first()[0] or 0
-    rho = np.random.default_rng(seed).normal(0, math.sqrt(2 * gamma), (size, width)).tolist()
-    dot = lambda row: F.aggregate(F.zip_with(features, F.array(*map(F.lit, row)), lambda a, b: F.coalesce(a * b, F.lit(0.0))), F.lit(0.0), lambda s, x: s + x)
-    angles = F.array(*[dot(row) for row in rho])
+    A batch of rows is one matrix product, so the plan does not grow with size and width.
+    """
+    if rho is None:
+        width = df.select(F.max(F.size(features))).first()[0] or 0
+        matrix = np.random.default_rng(seed).normal(0, math.sqrt(2 * gamma), (size, width))
+    else:
+        matrix = np.asarray(rho)
     scale = 1 / math.sqrt(size)
-    return df.withColumn("angles", angles).withColumn("vec_rff", F.concat(F.transform("angles", lambda x: scale * F.cos(x)), F.transform("angles", lambda x: scale * F.sin(x)))).drop("angles")
+
+    @pandas_udf("array<double>")
+    def mapped(rows: pd.Series) -> pd.Series:
+        x = np.zeros((len(rows), matrix.shape[1]))
+        for i, values in enumerate(rows):
+            if values is not None:
+                x[i, : len(values)] = values
+        angles = np.nan_to_num(x, nan=0.0) @ matrix.T
+        return pd.Series(list(scale * np.hstack([np.cos(angles), np.sin(angles)])))
+
+    return df.withColumn("vec_rff", mapped(F.transform(features, lambda v: v.cast("double"))))
 
 
 class PrivateSVM:
@@ -148,8 +163,6 @@ class PrivateSVM:
         return 2**2.5 * self.c * math.sqrt(self.dhat) / self.eps if self.eps > 0 else 0.0
 
     def fit(self, df: DataFrame) -> PrivateSVM:
-        import numpy as np
-
         rows = vectorised(fourier_features(df, self.dhat, self.gamma, self.seed).withColumn("features", F.col("vec_rff")))
         n = rows.count()
         svm = LinearSVC(featuresCol="vec", labelCol="label", regParam=1 / max(1.0, self.c * n), standardization=False).fit(rows.select("vec", "label"))
@@ -172,8 +185,6 @@ class PrivateSVM:
 
 def hinge_weights(x, sign, c: float, n_steps: int = 500, rho: float = 1.0, tolerance: float = 1e-6):
     """Weights and intercept (last) that minimise |w|^2 / 2 + c sum max(0, 1 - sign (x w + b)), by alternating directions."""
-    import numpy as np
-
     a = sign[:, None] * np.hstack([x, np.ones((len(x), 1))])
     held = np.diag([1.0] * x.shape[1] + [1e-9])
     solve = np.linalg.inv(held + rho * a.T @ a)
@@ -191,8 +202,6 @@ def hinge_weights(x, sign, c: float, n_steps: int = 500, rho: float = 1.0, toler
 
 def platt(margin, y, n_steps: int = 50):
     """Slope and offset of the logistic map from margins to labels, by Newton steps held to a finite slope."""
-    import numpy as np
-
     a, b = np.column_stack([margin, np.ones(len(margin))]), np.zeros(2)
     for _ in range(n_steps):
         p = 1 / (1 + np.exp(-np.clip(a @ b, -30, 30)))
@@ -209,9 +218,6 @@ def private_svms(df: DataFrame, keys: list[str], c: float = 1.0, eps: float = 10
     Defined results: missing values are 0. The model is for labels 0 and 1: records of keys
     with another label, or with one label only, have null probs and prediction.
     """
-    import numpy as np
-    import pandas as pd
-
     scale = PrivateSVM(c, eps, dhat, gamma, seed).noise_scale
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:

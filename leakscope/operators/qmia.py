@@ -1,6 +1,6 @@
 """Quantile-regression membership scores: hinge scores against a threshold for each record.
 
-Thresholds may be given, or come from a quantile forest: a regression tree of the
+Thresholds may be given, or come from a quantile tree: a regression tree of the
 non-members' scores whose leaves give the quantile of the scores that fall in.
 
 Defined results: records without a threshold or score have a null margin; no
@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leakscope.functions.exprs import hinge
+from leakscope.operators import metrics
+from leakscope.session import cut_lineage, small_side
 
 ALPHA, Z95 = 0.01, 1.96
 
@@ -25,10 +27,10 @@ def hinge_scores(records: DataFrame) -> DataFrame:
     return records.withColumn("score", hinge(F.col("probs"), F.col("y")))
 
 
-def quantile_forest(records: DataFrame, alpha: float = ALPHA, max_depth: int = 5, min_rows: int = 20, seed: int = 0) -> DataFrame:
+def quantile_tree(records: DataFrame, alpha: float = ALPHA, max_depth: int = 5, min_rows: int = 20, seed: int = 0) -> DataFrame:
     """(record_id, is_member, score, threshold): features ARRAY<DOUBLE> and y predict the 1 - alpha quantile of the score.
 
-    Trained on non-members; leaves are summed up by percentile_approx, whose state is bounded.
+    Trained on non-members. One tree; its leaves give the quantiles.
     """
     width = records.select(F.max(F.size("features"))).first()[0] or 0
     columns = [F.coalesce(F.get("features", F.lit(i)), F.lit(0.0)).alias(f"f{i}") for i in range(width)]
@@ -39,11 +41,22 @@ def quantile_forest(records: DataFrame, alpha: float = ALPHA, max_depth: int = 5
         return assembled.select("record_id", "is_member", "score", F.lit(None).cast("double").alias("threshold"))
     tree = DecisionTreeRegressor(featuresCol="vec", labelCol="score", maxDepth=max_depth, minInstancesPerNode=min_rows, leafCol="leaf", seed=seed).fit(others)
     placed = tree.transform(assembled).select("record_id", "is_member", "score", "leaf")
-    quantile = F.percentile_approx("score", 1 - alpha, 10_000)
-    leaves = placed.filter("is_member = 0").groupBy("leaf").agg(quantile.alias("own"))
-    whole = placed.filter("is_member = 0").agg(quantile.alias("every"))
-    joined = placed.join(F.broadcast(leaves), "leaf", "left").crossJoin(F.broadcast(whole))  # leaves: at most 2^max_depth rows
-    return joined.select("record_id", "is_member", "score", F.coalesce("own", "every").alias("threshold"))
+    return leaf_thresholds(cut_lineage(placed), alpha).select("record_id", "is_member", "score", "threshold")
+
+
+def leaf_thresholds(placed: DataFrame, alpha: float = ALPHA) -> DataFrame:
+    """placed (leaf, is_member, score) with threshold: the 1 - alpha quantile of the leaf's non-members, of all where it has none.
+
+    The quantile is the smallest score that so many do not exceed, found from running counts of distinct scores, whatever the size of a leaf.
+    """
+    others = placed.filter("is_member = 0 and score is not null and leaf is not null")
+    own = cut_lineage(others.groupBy("leaf", (-F.col("score")).alias("s1")).agg(F.count(F.lit(1)).alias("p"), F.lit(0).cast("bigint").alias("n")))
+    reached = F.col("cum_p") >= F.greatest(F.lit(1), F.ceil(F.round(F.col("total_p") * (1 - alpha), 9)))
+    leaves = metrics.running_counts(own, ["leaf"]).filter(reached).groupBy("leaf").agg(F.min(-F.col("s1")).alias("own"))
+    every = cut_lineage(own.groupBy("s1").agg(F.sum("p").alias("p"), F.sum("n").alias("n")).withColumn("whole", F.lit(0)))
+    whole = metrics.running_counts(every, ["whole"]).filter(reached).agg(F.min(-F.col("s1")).alias("every"))
+    joined = placed.join(small_side(leaves), "leaf", "left").crossJoin(F.broadcast(whole))  # one row
+    return joined.withColumn("threshold", F.coalesce("own", "every")).drop("own", "every")
 
 
 def margins(df: DataFrame) -> DataFrame:

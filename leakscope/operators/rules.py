@@ -55,8 +55,8 @@ def check_leaves(params: DataFrame, rules: DataFrame) -> DataFrame:
     broken = _breaks(F.col("operator"), F.col("value"), F.col("rule_value"), F.col("value_type"))
     message = F.when(
         F.col("operator").isin("min", "max", "equals", "is_type"),
-        F.when(broken, F.format_string("- parameter %s = %s breaks %s %s", "keyword", F.coalesce("value", F.lit("nothing")), "operator", "rule_value")),
-    ).otherwise(F.format_string("- unknown operator in parameter specification %s", "operator"))
+        F.when(broken, F.format_string("- %s is %s, which breaks %s %s", "keyword", F.coalesce("value", F.lit("nothing")), "operator", "rule_value")),
+    ).otherwise(F.format_string("- the rule's operator %s is not known", "operator"))
     return found.select("model_id", "model_type", "rule_id", "parent_id", "operator", "keyword", "value", "rule_value", broken.alias("disclosive"), message.alias("message"))
 
 
@@ -74,12 +74,18 @@ def check(params: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def apply_constraints(params: DataFrame, rules: DataFrame) -> DataFrame:
-    """params with the values the top-level and and-group rules ask for where they break them."""
+    """params with the values the top-level and and-group rules ask for where they break them; whole numbers and decimals are cast to the type asked for."""
     leaves = check_leaves(params, rules)
     groups = rules.filter("operator = 'or'").select("model_type", F.col("rule_id").alias("parent_id"))
     binding = leaves.join(groups, ["model_type", "parent_id"], "left_anti").filter("disclosive and operator in ('min', 'max', 'equals')")
     fixed = binding.groupBy("model_id", "keyword").agg(F.max_by("rule_value", "rule_id").alias("fixed_value"))
-    return params.join(fixed, ["model_id", "keyword"], "left").select("model_id", "model_type", "keyword", F.coalesce("fixed_value", "value").alias("value"), "value_type")
+    typed = leaves.join(groups, ["model_type", "parent_id"], "left_anti").filter("operator = 'is_type' and rule_value in ('int', 'float')").groupBy("model_id", "keyword").agg(F.max("rule_value").alias("wanted_type"))
+    both = params.join(fixed, ["model_id", "keyword"], "left").join(typed, ["model_id", "keyword"], "left")
+    value = F.coalesce("fixed_value", "value")
+    wanted = F.when(F.col("value_type").isin("int", "float") & (F.col("wanted_type") != F.col("value_type")), F.col("wanted_type"))
+    whole, decimal = value.try_cast("double").cast("bigint").cast("string"), value.try_cast("double").cast("string")
+    cast = F.when(wanted == "int", whole).when(wanted == "float", decimal).otherwise(value)
+    return both.select("model_id", "model_type", "keyword", cast.alias("value"), F.coalesce(wanted, F.col("value_type")).alias("value_type"))
 
 
 def differences(current: DataFrame, saved: DataFrame, ignored: list[str] | None = None) -> DataFrame:
@@ -97,6 +103,31 @@ def list_differences(current: DataFrame, saved: DataFrame) -> DataFrame:
     return differences(flat(current), flat(saved)).withColumnRenamed("path", "position")
 
 
+def tree_differences(current: DataFrame, saved: DataFrame) -> DataFrame:
+    """(model_id, n_nodes, n_differing, equal) of trees as node tables (model_id, node_id, and the values of a node)."""
+    values = [c for c in current.columns if c not in ("model_id", "node_id")]
+    packed = lambda df, name: df.select("model_id", "node_id", F.struct(*values).alias(name))
+    both = packed(current, "ours").join(packed(saved, "theirs"), ["model_id", "node_id"], "full_outer")
+    out = both.groupBy("model_id").agg(F.count("ours").alias("n_nodes"), F.count_if(~F.col("ours").eqNullSafe(F.col("theirs"))).alias("n_differing"))
+    return out.withColumn("equal", F.col("n_differing") == 0)
+
+
+def forest_differences(current: DataFrame, saved: DataFrame) -> DataFrame:
+    """(model_id, n_trees, n_saved_trees, n_differing_trees, equal) of forests as node tables with tree_id besides."""
+    keyed = lambda df: df.withColumn("model_id", F.struct("model_id", "tree_id")).drop("tree_id")
+    trees = tree_differences(keyed(current), keyed(saved)).select("model_id.*", "n_nodes", "equal")
+    size = lambda df, name: df.groupBy("model_id").agg(F.countDistinct("tree_id").alias(name))
+    out = trees.groupBy("model_id").agg(F.count_if(~F.col("equal")).alias("n_differing_trees"))
+    out = out.join(size(current, "n_trees"), "model_id", "left").join(size(saved, "n_saved_trees"), "model_id", "left").fillna(0)
+    return out.withColumn("equal", F.col("n_differing_trees") == 0)
+
+
+def nested_differences(current: DataFrame, saved: DataFrame, values: str = "values") -> DataFrame:
+    """(model_id, path, current_value, saved_value) of maps from names to values, as private SVMs keep their parts."""
+    flat = lambda df: df.select("model_id", F.explode(values).alias("path", "value")).withColumn("value", F.col("value").cast("string"))
+    return differences(flat(current), flat(saved))
+
+
 def release(checked: DataFrame, changed: DataFrame, saved: DataFrame) -> DataFrame:
     """(model_id, recommendation, reason): models that break a rule, changed after fitting, or have no saved copy are not released."""
     tampered = changed.select("model_id").distinct().withColumn("tampered", F.lit(True))

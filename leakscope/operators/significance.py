@@ -95,3 +95,21 @@ def model_recommendation(models: DataFrame, key: str = "target_id") -> DataFrame
         F.struct(F.when(leaf < MIN_LEAF, "support_rejection").when(leaf >= MIN_LEAF, "support_release").alias("bucket"), F.when(leaf < MIN_LEAF, f"Min samples per leaf < {MIN_LEAF}").otherwise(f"Min samples per leaf > {MIN_LEAF}").alias("reason")),
     )
     return models.select(key, F.explode(reasons).alias("r")).filter("r.bucket is not null").select(key, "r.bucket", "r.reason")
+
+
+def leaderboard(runs: DataFrame, scenario: str = "scenario", attack: str = "attack", auc: str = "auc", seconds: str = "seconds") -> DataFrame:
+    """(scenario, best, best_auc, fastest, least_seconds, best_rate): of each scenario the attack of largest auc, of least time, and of largest auc a second; ties go to the first name."""
+    means = runs.groupBy(scenario, attack).agg(F.avg(auc).alias("auc"), F.avg(seconds).alias("seconds"))
+    rate = F.col("auc") / F.when(F.col("seconds") > 0, F.col("seconds"))
+    first = lambda value: F.min(F.struct(value.alias("v"), F.col(attack).alias("a")))
+    top = means.groupBy(scenario).agg(first(-F.col("auc")).alias("b"), first(F.col("seconds")).alias("f"), F.min(F.when(rate.isNotNull(), F.struct((-rate).alias("v"), F.col(attack).alias("a")))).alias("r"))
+    return top.select(scenario, F.col("b.a").alias("best"), (-F.col("b.v")).alias("best_auc"), F.col("f.a").alias("fastest"), F.col("f.v").alias("least_seconds"), F.col("r.a").alias("best_rate"))
+
+
+def merged_reports(first: DataFrame, second: DataFrame, key: str, values: str = "values") -> DataFrame:
+    """(key, values): maps of both sides, the second side's entries winning."""
+    both = first.select(key, F.col(values).alias("ours")).join(second.select(key, F.col(values).alias("theirs")), key, "full_outer")
+    entry = lambda c, only: F.map_filter(c, lambda k, _: only(k))
+    empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    ours, theirs = F.coalesce("ours", empty), F.coalesce("theirs", empty)
+    return both.select(key, F.map_concat(entry(ours, lambda k: ~F.map_contains_key(theirs, k)), theirs).alias(values))

@@ -103,8 +103,18 @@ def ks_test(df: DataFrame, value: str, keys: list[str] | None = None, alpha: flo
     return out.withColumn("ks_risk", F.col("ks_p") < alpha)
 
 
-def structural_report(records: DataFrame, key: str, n_params: int, correct: Column, threshold: int = equivalence.THRESHOLD) -> DataFrame:
-    """One row of all structural results of one model; records carry is_member, probs and the class key."""
+def structural_report(records: DataFrame, key: str, n_params: int, correct: Column, threshold: int = equivalence.THRESHOLD, params: DataFrame | None = None, model_type: str = "", loss: str | None = None) -> DataFrame:
+    """One row of all structural results of one model; records carry is_member, probs, the class key and, if named, the loss.
+
+    params: one row of hyper-parameters, judged by the risky regions of model_type.
+    """
     train = records.filter("is_member = 1")
-    risks = equivalence.global_risks(equivalence.classes(train, key), threshold)
-    return risks.crossJoin(dof_risk(train, F.lit(n_params))).crossJoin(generalisation_gap(records, correct))
+    out = equivalence.global_risks(equivalence.classes(train, key), threshold)
+    parts = [dof_risk(train, F.lit(n_params)), generalisation_gap(records, correct)]
+    if loss:
+        parts.append(ks_test(records, loss, []).select("ks_stat", "ks_p", "ks_risk"))
+    if params is not None:
+        parts.append(unnecessary_risk(params.limit(1), model_type).select("unnecessary_risk"))
+    for part in parts:  # one row each
+        out = out.crossJoin(F.broadcast(part))
+    return out

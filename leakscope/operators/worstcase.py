@@ -6,13 +6,14 @@ metric engine. Folds are the same for tuning and for the repetitions.
 
 from __future__ import annotations
 
+import hashlib
 from itertools import product
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leakscope.functions.exprs import argmax, sorted_probs
-from leakscope.operators import metrics, models, sampling
+from leakscope.operators import metrics, models, sampling, significance
 from leakscope.session import cut_lineage
 
 
@@ -36,7 +37,7 @@ def tuning_grid(**options: list) -> list[dict]:
     return [dict(zip(options, values, strict=True)) for values in product(*options.values())] if options else [{}]
 
 
-def attack(records: DataFrame, n_reps: int = 3, test_prop: float = 0.2, seed: int = 10, model: str = "RandomForestClassifier", params: dict | None = None, **features) -> DataFrame:
+def attack(records: DataFrame, n_reps: int = 10, test_prop: float = 0.2, seed: int = 10, model: str = "RandomForestClassifier", params: dict | None = None, **features) -> DataFrame:
     """`scored` of all repetitions (keys: rep): test records of every repetition scored by its attack model."""
     rows = attack_features(records, **features)
     folds = cut_lineage(sampling.repeated_splits(rows, ["is_member"], test_prop, "record_id", sampling.split_seeds(seed, n_reps)))
@@ -51,6 +52,21 @@ def attack(records: DataFrame, n_reps: int = 3, test_prop: float = 0.2, seed: in
     return cut_lineage(out)
 
 
+#: The parameters searched for an attack model unless others are named.
+GRIDS = {
+    "RandomForestClassifier": {"numTrees": [50, 100], "maxDepth": [3, 5], "minInstancesPerNode": [5, 10]},
+    "MultilayerPerceptronClassifier": {"maxIter": [50, 100]},
+    "LogisticRegression": {"regParam": [0.0, 0.01, 0.1]},
+}
+
+
+def random_grid(n: int, seed: int = 0, **options: list) -> list[dict]:
+    """n different combinations of the options, drawn by hash; all of them if there are not more."""
+    every = tuning_grid(**options)
+    drawn = sorted(range(len(every)), key=lambda i: hashlib.blake2b(f"{seed}/{i}".encode(), digest_size=8).digest())
+    return [every[i] for i in sorted(drawn[:n])]
+
+
 def tuned(records: DataFrame, grid: list[dict], metric: str = "auc", **settings) -> dict:
     """The parameters of the best mean metric over the repetitions' folds; the first wins a tie."""
     best: tuple[float, dict] | None = None
@@ -62,6 +78,14 @@ def tuned(records: DataFrame, grid: list[dict], metric: str = "auc", **settings)
     return best[1] if best else {}
 
 
+def summary(runs: DataFrame, keys: list[str], alpha: float = significance.P_THRESH) -> DataFrame:
+    """Of each set of repetitions (rows of metrics): corrected counts of significant AUCs, and the null range of the first."""
+    counts = significance.corrected(runs, keys, alpha=alpha).select(*keys, "n_total", "n_significant", "n_step_up")
+    first = runs.groupBy(*keys).agg(F.min_by(F.struct("n_pos", "n_neg"), "rep").alias("first"))
+    sd = F.sqrt(metrics.null_auc_variance(F.lit(0.5), F.col("first.n_pos"), F.col("first.n_neg")))
+    return counts.join(first.select(*keys, significance.null_range(sd).alias("null_auc_range")), keys)
+
+
 def report(records: DataFrame, n_dummy_reps: int = 1, **settings) -> DataFrame:
     """Metrics of every repetition, dummy baselines (under kind 'dummy') included."""
     runs = attack(records, **settings).withColumn("kind", F.lit("attack"))

@@ -512,8 +512,8 @@ def qmia_degenerate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query()
-def qmia_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return qmia.margins(qmia.quantile_forest(qmia.hinge_scores(frames.emb_probs(spark, sf_dir)), alpha=0.1))
+def qmia_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return qmia.margins(qmia.quantile_tree(qmia.hinge_scores(frames.emb_probs(spark, sf_dir)), alpha=0.1))
 
 
 # ---------------------------------------------------------------- stored instances, meta matrix
