@@ -25,10 +25,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leakscope.llm.scores import latest_scores
-from leakscope.session import broadcast_if_small, cut_lineage, latest_rows
+from leakscope.operators import metrics
+from leakscope.session import broadcast_if_small, cut_lineage, latest_rows, small_side
 
-#: Share of a group's values that is pulled in at either end, and the accuracy of the quantile sketch.
-TAIL, ACCURACY = 0.1, 10_000
+#: Share of a group's values that is pulled in at either end.
+TAIL = 0.1
 
 
 @dataclass(frozen=True)
@@ -42,6 +43,17 @@ class Score:
     winsorise: bool = True
 
 
+def order_cuts(df: DataFrame, group: str, columns: dict[str, str], tail: float) -> DataFrame:
+    """(group, cut_<name> of each column): the smallest values that tail and 1 - tail of the group's rows do not exceed, as an array of two."""
+    values = df.select(group, F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(c).alias("s1")) for n, c in columns.items()])).alias("v")).select(group, "v.name", "v.s1")
+    counts = cut_lineage(values.groupBy(group, "name", "s1").agg(F.count(F.lit(1)).alias("p"), F.lit(0).cast("bigint").alias("n")))
+    below = F.col("total_p") - F.col("cum_p") + F.col("p")  # rows up to and with this value
+    rank = lambda share: F.greatest(F.lit(1), F.ceil(F.lit(share) * F.col("total_p")))
+    cut = lambda share: F.min(F.when(below >= rank(share), F.col("s1")))
+    found = metrics.running_counts(counts, [group, "name"]).groupBy(group, "name").agg(F.array(cut(tail), cut(1 - tail)).alias("cut"))
+    return found.groupBy(group).agg(*[F.max(F.when(F.col("name") == n, F.col("cut"))).alias(f"cut_{n}") for n in columns])
+
+
 def closeness(df: DataFrame, group: str, scores: list[Score], tail: float = TAIL) -> DataFrame:
     """df with `closeness` in [0, 1], 1 being the ideal point, and `beyond`; rows lacking a score are left out.
 
@@ -49,19 +61,17 @@ def closeness(df: DataFrame, group: str, scores: list[Score], tail: float = TAIL
     weighted sum of e / (1 + |e|), e being what was pulled in, in standard deviations. So no single
     outlier decides, and a score that decides nothing does not count.
 
-    Four aggregates per group (quantiles; sums and squares; bounds), each pre-aggregated
-    before its shuffle; a group of any size is never gathered in one task.
+    Cuts are exact order statistics from running counts of distinct values, so they do not depend
+    on the partitioning; sums, squares and bounds are aggregates combined before their shuffle. A
+    group of any size is never gathered in one task.
     """
     full = df
     for s in scores:
         full = full.filter(F.col(s.column).isNotNull())
     signed = {s.column: (-1.0 if s.smaller_first else 1.0) * F.col(s.column).cast("double") for s in scores}
     full = full.withColumns({f"say_{s.column}": signed[s.column] for s in scores})
-    # quantiles of every score at once; a sketch of bounded size per group and task
-    cuts = full.groupBy(group).agg(
-        *[F.percentile_approx(f"say_{s.column}", F.array(F.lit(tail), F.lit(1 - tail)), ACCURACY).alias(f"cut_{s.column}") for s in scores if s.winsorise]
-    )
-    held = full.join(broadcast_if_small(cuts), group) if any(s.winsorise for s in scores) else full
+    pulled = [s.column for s in scores if s.winsorise]
+    held = full.join(small_side(order_cuts(full, group, {c: f"say_{c}" for c in pulled}, tail)), group) if pulled else full
     held = held.withColumns({f"raw_{s.column}": F.col(f"say_{s.column}") for s in scores})
     held = held.withColumns(
         {f"say_{s.column}": F.greatest(F.col(f"cut_{s.column}")[0], F.least(F.col(f"cut_{s.column}")[1], F.col(f"say_{s.column}"))) for s in scores if s.winsorise}
@@ -78,7 +88,7 @@ def closeness(df: DataFrame, group: str, scores: list[Score], tail: float = TAIL
             for s in scores
         ]
     )
-    placed = held.join(broadcast_if_small(shape), group)
+    placed = held.join(small_side(shape), group)
 
     def distance(to: str):
         parts = []
