@@ -13,9 +13,10 @@ from concurrent.futures import ThreadPoolExecutor
 import numpy as np
 import pandas as pd
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
+from pyspark.ml import classification
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, NaiveBayes, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -35,6 +36,22 @@ REGISTRY: dict[str, Callable[..., Estimator]] = {
 ATTACK_FOREST = {"numTrees": 100, "maxDepth": 5, "minInstancesPerNode": 10}
 
 
+#: The fitted model of each estimator, for reading it again.
+FITTED = {n: getattr(classification, (n.removesuffix("Classifier") + "Classification" if n.endswith("Classifier") else n) + "Model") for n in REGISTRY}
+
+
+def save(model: Model, path: str) -> None:
+    """Write a fitted model, or a pipeline of one, with its writer."""
+    model.write().overwrite().save(path)
+
+
+def load(name: str, path: str) -> Model:
+    """A model written by save; name is that of its estimator, or Pipeline."""
+    if name != "Pipeline" and name not in FITTED:
+        raise ValueError(f"unknown model {name}; known: Pipeline, {', '.join(sorted(FITTED))}")
+    return (PipelineModel if name == "Pipeline" else FITTED[name]).load(path)
+
+
 def estimator(name: str, **params) -> Estimator:
     if name not in REGISTRY:
         raise ValueError(f"unknown model {name}; known: {', '.join(sorted(REGISTRY))}")
@@ -104,27 +121,44 @@ def leaves(df: DataFrame, name: str = "DecisionTreeClassifier", **params) -> Dat
     """df with probs, prediction and leaf (a number of a tree, an array of a forest) of a model fitted on its members."""
     model = fit(df.filter("is_member = 1"), name, leafCol="leaf", **params)
     out = score(model, df)
-    return out.withColumn("leaf", vector_to_array("leaf")) if dict(out.dtypes)["leaf"] == "vector" else out
+    return out.withColumn("leaf", leaf_array(out))
+
 
+def leaf_array(placed: DataFrame) -> Column:
+    """The leaf of a tree as it is, the leaves of a forest as an array."""
+    return vector_to_array("leaf") if dict(placed.dtypes)["leaf"] == "vector" else F.col("leaf")
 
-def shadow_confidences(records: DataFrame, membership: DataFrame, name: str, parallelism: int = 4, **params) -> DataFrame:
-    """(model_idx, record_id, in_train, conf): every record scored by every shadow model; conf is the logit of its class."""
-    models = [r.model_idx for r in membership.select("model_idx").distinct().orderBy("model_idx").collect()]
 
-    def one(model_idx: int) -> DataFrame:
+def shadow_confidences(records: DataFrame, membership: DataFrame, name: str, parallelism: int = 4, store: str | None = None, **params) -> DataFrame:
+    """(model_idx, record_id, in_train, conf): every record scored by every shadow model; conf is the logit of its class.
+
+    Each model is fitted on its own members. store: a folder that keeps the confidences of every
+    model; models on file there are not fitted again.
+    """
+    from leakscope.operators.shadow import stored
+    from leakscope.session import scratch
+
+    spark = records.sparkSession
+    path = f"{store or scratch(spark)}/{name}"
+    n_models = (membership.agg(F.max("model_idx")).first()[0] or 0) + 1
+
+    def one(model_idx: int) -> None:
         sides = membership.filter(F.col("model_idx") == model_idx).select("record_id", "in_train")
         both = records.join(sides, "record_id")
         fitted = fit(both.filter("in_train"), name, **params)
         # a class the shadow model has not seen has probability 0
         conf = logit(F.coalesce(class_prob(F.col("probs"), F.col("y")), F.lit(0.0)))
-        return score(fitted, both).select(F.lit(model_idx).alias("model_idx"), "record_id", "in_train", conf.alias("conf"))
-
-    with ThreadPoolExecutor(parallelism) as pool:
-        parts = list(pool.map(one, models))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+        scored = score(fitted, both).select("record_id", "in_train", conf.alias("conf"))
+        scored.write.mode("overwrite").parquet(f"{path}-parts/{model_idx}")
+
+    def compute(missing: list[int]) -> DataFrame:
+        with ThreadPoolExecutor(parallelism) as pool:
+            list(pool.map(one, missing))
+        rows = spark.read.parquet(*[f"{path}-parts/{i}" for i in missing])
+        place = F.regexp_extract(F.col("_metadata.file_path"), r"-parts/(\d+)/", 1).cast("int")
+        return rows.withColumn("model_idx", place)
+
+    return stored(spark, path, n_models, compute).select("model_idx", "record_id", "in_train", "conf")
 
 
 def fourier_features(df: DataFrame, size: int, gamma: float, seed: int = 0, features: str = "features", rho: list[list[float]] | None = None) -> DataFrame:

@@ -7,7 +7,10 @@ members have no shadow models.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leakscope.functions.exprs import class_prob, logit
@@ -15,11 +18,28 @@ from leakscope.operators import sampling, trees
 from leakscope.session import broadcast_if_small, cut_lineage
 
 
-def tree_confidences(records: DataFrame, keys: list[str], n_models: int, max_depth: int) -> DataFrame:
-    """(keys, model_idx, record_id, in_train, conf): every record scored by every shadow tree of its key; conf is the logit of its class."""
+def stored(spark: SparkSession, path: str, n_models: int, compute: Callable[[list[int]], DataFrame]) -> DataFrame:
+    """The confidences of the first n_models shadow models, kept in a table by model_idx: only models not on file are computed.
+
+    compute gives the confidences of the models asked for. A run that was broken off leaves no part
+    of its models behind, as a table write is committed whole.
+    """
+    try:
+        done = {r.model_idx for r in spark.read.parquet(path).select("model_idx").distinct().collect()}  # one row of each model
+    except AnalysisException:
+        done = set()
+    missing = [i for i in range(n_models) if i not in done]
+    if missing:
+        compute(missing).write.mode("append").partitionBy("model_idx").parquet(path)
+    return spark.read.parquet(path).filter(F.col("model_idx") < n_models)
+
+
+def tree_confidences(records: DataFrame, keys: list[str], n_models: int, max_depth: int, only: list[int] | None = None) -> DataFrame:
+    """(keys, model_idx, record_id, in_train, conf): every record scored by every shadow tree of its key; conf is the logit of its class. only: the models wanted of those."""
     sizes = records.groupBy(*keys).agg(F.count_if(F.col("is_member") == 1).alias("n_members"))
     sized = records.join(broadcast_if_small(sizes), keys)
     sides = sampling.shadow_membership(sized, n_models, F.col("n_members"), keys=keys)
+    sides = sides if only is None else sides.filter(F.col("model_idx").isin(*only))
     both = cut_lineage(sized.drop("n_members").join(sides, [*keys, "record_id"]))
     own = [*keys, "model_idx"]
     grown = trees.grow(both.filter("in_train"), own, max_depth)

@@ -15,12 +15,14 @@ MANIFEST = "manifest"
 RECORD_COLUMNS = ("record_id", "is_member", "y", "features", "probs", "raw")
 
 
-def save_target(records: DataFrame, path: str, manifest: dict, dataset: str | None = None) -> None:
-    """Write a target. With a registered dataset named, only ids and membership are written; the rest is read again from it."""
+def save_target(records: DataFrame, path: str, manifest: dict, dataset: str | None = None, model=None, model_name: str | None = None) -> None:
+    """Write a target, with its fitted model if there is one. With a registered dataset named, only ids and membership are written; the rest is read again from it."""
     kept = records if dataset is None else records.select("record_id", "is_member")
     kept.write.mode("overwrite").parquet(f"{path}/records")
     spark = records.sparkSession
-    text = json.dumps(manifest | {"dataset": dataset, "columns": kept.columns})
+    if model is not None:
+        model.write().overwrite().save(f"{path}/model")
+    text = json.dumps(manifest | {"dataset": dataset, "columns": kept.columns, "model_name": model_name if model is not None else None})
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/{MANIFEST}")
 
 
@@ -35,6 +37,33 @@ def load_target(spark: SparkSession, path: str, datasets: dict | None = None) ->
     return records, manifest
 
 
+def load_model(path: str, manifest: dict):
+    """The model saved with a target, or nothing."""
+    from leakscope.operators import models
+
+    return models.load(manifest["model_name"], f"{path}/model") if manifest.get("model_name") else None
+
+
+def to_arrays(df: DataFrame, columns: list[str], max_rows: int = 1_000_000) -> dict:
+    """Columns as NumPy arrays on the driver; arrays of one length become matrices. More rows than max_rows are refused."""
+    import numpy as np
+
+    rows = df.select(*columns).limit(max_rows + 1).toPandas()
+    if len(rows) > max_rows:
+        raise ValueError(f"more than {max_rows} rows do not become arrays on the driver")
+    return {c: np.array(rows[c].tolist()) for c in columns}
+
+
+def from_arrays(spark: SparkSession, arrays: dict) -> DataFrame:
+    """A table of arrays of one length, with row_no; matrices become array columns."""
+    import pandas as pd
+
+    sizes = {len(a) for a in arrays.values()}
+    if len(sizes) > 1:
+        raise ValueError("the arrays differ in length")
+    return spark.createDataFrame(pd.DataFrame({"row_no": range(sizes.pop() if sizes else 0), **{k: list(map(lambda v: v.tolist(), a)) for k, a in arrays.items()}}))
+
+
 def read_array(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
     """(row_no, values array<double>) of a headerless CSV, or a Parquet folder as it is; other suffixes are an error."""
     if path.endswith(".parquet"):

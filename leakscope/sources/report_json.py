@@ -15,11 +15,13 @@ numbers. A section without a log_id takes it from its key.
 from __future__ import annotations
 
 import json
+import math
 import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from leakscope.session import latest_rows
 
@@ -146,6 +148,39 @@ def latest_files(files: DataFrame) -> DataFrame:
     return latest_rows(files.filter("file_id is not null"), "file_id", "received_at", ["received_at", "file_name", "target_id", "payload"]).drop("received_at")
 
 
+def scan_folder(spark: SparkSession, path: str) -> DataFrame:
+    """(file_id, file_name, target_id, payload, written_at, received_at) of the report files below a folder, one row of each; target_id is null."""
+    rows = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.json")
+    name, changed = F.col("_metadata.file_path"), F.col("_metadata.file_modification_time")
+    return rows.select(F.xxhash64(name).alias("file_id"), F.col("_metadata.file_name").alias("file_name"), F.lit(None).cast("bigint").alias("target_id"), F.col("value").alias("payload"), changed.alias("written_at"), changed.alias("received_at"))
+
+
+_SCORE = "log_id string, target_id bigint, attack_name string, experiment_no int, instance_no bigint, entry_no int, member double, member_prob double, k_anonymity double, class_disclosure boolean, smallgroup_risk boolean"
+
+
+def entry_scores(files: DataFrame) -> DataFrame:
+    """(log_id, target_id, attack_name, experiment_no, instance_no, entry_no, member, member_prob, k_anonymity, class_disclosure, smallgroup_risk): what the individual
+    entries of reports say of their records; fields that are absent or of another kind are null."""
+    number = lambda v: float(v) if isinstance(v, (int, float)) and math.isfinite(v) else None
+    flag = lambda v: v if isinstance(v, bool) else None
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for target, payload in zip(frame.target_id, frame.payload, strict=True):
+                for key, section in sections(payload):
+                    for experiment_no, logger in experiments(section):
+                        for instance_no, instance in instances(logger):
+                            for n, e in enumerate(entries(instance.get("individual"))):
+                                own = (number(e.get("member")), number(e.get("member_prob")), number(e.get("k_anonymity")), flag(e.get("class_disclosure")), flag(e.get("smallgroup_risk")))
+                                rows.append((log_id(key, section), target, attack_spelling(key, section), experiment_no, instance_no, n, *own))
+            out = pd.DataFrame(rows, columns=[f.split()[0] for f in _SCORE.split(", ")])
+            out["target_id"] = out["target_id"].astype("Int64")
+            yield out
+
+    return latest_files(files).select("target_id", "payload").mapInPandas(run, _SCORE)
+
+
 def regular_sections(files: DataFrame) -> DataFrame:
     """(file_id, file_name, target_id, section_no, log_id, attack_spelling, document): the regular JSON of every section of every file."""
 

@@ -6,6 +6,9 @@ each other. Arrays (ROC, individual scores) go to side tables by log_id and run.
 
 from __future__ import annotations
 
+import shutil
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -61,3 +64,36 @@ def text_report(metrics: DataFrame, title: str, columns: list[str], max_rows: in
     widths = [max(len(c), *(len(r[i]) for r in cells)) if cells else len(c) for i, c in enumerate(columns)]
     line = lambda r: "  ".join(v.ljust(w) for v, w in zip(r, widths, strict=True)).rstrip()
     return "\n".join([title, "=" * len(title), line(columns), *map(line, cells)])
+
+
+def pdf_report(text: str, path: str, lines_per_page: int = 60) -> None:
+    """A plain-text report as a PDF file of fixed-width pages, written without other libraries; signs beyond Latin-1 become ?."""
+    lines = text.split("\n")
+    pages = [lines[i : i + lines_per_page] for i in range(0, len(lines), lines_per_page)]
+    escaped = lambda t: t.encode("latin-1", "replace").replace(b"\\", b"\\\\").replace(b"(", b"\\(").replace(b")", b"\\)")
+    objects = [b"<< /Type /Catalog /Pages 2 0 R >>", b"", b"<< /Type /Font /Subtype /Type1 /BaseFont /Courier /Encoding /WinAnsiEncoding >>"]
+    kids = []
+    for page in pages:
+        body = b"BT /F1 8 Tf 10 TL 40 800 Td " + b" ".join(b"(" + escaped(line) + b") Tj T*" for line in page) + b" ET"
+        objects.append(b"<< /Length %d >>\nstream\n%s\nendstream" % (len(body), body))
+        objects.append(b"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 595 842] /Resources << /Font << /F1 3 0 R >> >> /Contents %d 0 R >>" % len(objects))
+        kids.append(b"%d 0 R" % len(objects))
+    objects[1] = b"<< /Type /Pages /Kids [%s] /Count %d >>" % (b" ".join(kids), len(kids))
+    out, places = bytearray(b"%PDF-1.4\n"), []
+    for n, content in enumerate(objects, 1):
+        places.append(len(out))
+        out += b"%d 0 obj\n%s\nendobj\n" % (n, content)
+    start = len(out)
+    out += b"xref\n0 %d\n0000000000 65535 f \n" % (len(objects) + 1) + b"".join(b"%010d 00000 n \n" % p for p in places)
+    out += b"trailer << /Size %d /Root 1 0 R >>\nstartxref\n%d\n%%%%EOF\n" % (len(objects) + 1, start)
+    Path(path).write_bytes(bytes(out))
+
+
+def release_files(folder: str, release: str, keep: tuple[str, ...] = (".json", ".txt", ".pdf")) -> list[str]:
+    """Move the report files of a folder to the release folder; other files stay. The names moved come back, sorted."""
+    source, target = Path(folder), Path(release)
+    target.mkdir(parents=True, exist_ok=True)
+    moved = sorted(p.name for p in source.iterdir() if p.is_file() and p.suffix in keep)
+    for name in moved:
+        shutil.move(source / name, target / name)
+    return moved

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import pytest
 
-from leakscope.plans import audit, general, given  # noqa: F401  given adds to the queries of audit
+from leakscope.plans import audit, general, given, stored  # noqa: F401  the last two add to the queries of audit
 
 TWINS = {**audit.oracle_sql(), **general.oracle_sql()}
 CORE = {**audit.queries(), **general.queries()}
 #: Fit models for long; test_operators covers them on smaller data.
-SLOW = {"worstcase_rf", "qmia_tree", "private_svm", "shadow_train", "attribute_bruteforce", "attribute_bounds", "dt_leaf_k", "rf_leaf_k"}
+SLOW = {"worstcase_rf", "qmia_tree", "private_svm", "shadow_train", "attribute_bruteforce", "attribute_bounds", "dt_leaf_k", "rf_leaf_k", "shadow_resumed"}
 
 
 @pytest.mark.parametrize("name", sorted(TWINS))
