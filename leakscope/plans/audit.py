@@ -179,12 +179,6 @@ def m_summary_by_instance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.select("instance", "tp", "fp", "tn", "fn", "auc", "acc"))
 
 
-@query()
-def m_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All metrics, normal tails included."""
-    return metrics.metrics(frames.audit_orders(spark, sf_dir), KEY)
-
-
 def _pdif_sql() -> str:
     out = []
     for name, x in metrics.SHARES.items():
@@ -208,6 +202,34 @@ def m_pdif(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(metrics.metrics(frames.audit_events(spark, sf_dir), ["instance"]).select("instance", "pdif01", "pdif02", "pdif001"), 4)
 
 
+def _summary_sql() -> str:
+    """All metrics of one run in one row, from the pieces of the other twins."""
+    rated = RATES_SQL.format(**ORDERS).rsplit("\nSELECT", 1)
+    final = rated[1].replace("SELECT priority, ", "").split(" FROM ratios")[0].strip().removeprefix("priority,")
+    cuts = ", ".join(map(_tpr_sql, metrics.FPR_PERCENT))
+    tails = ", ".join(_PDIF.format(cdf=frames.normal_cdf_sql(f"z{s}"), name=s) for s in metrics.SHARES)
+    outer = ", ".join(f"f{side}{s}" for s in metrics.SHARES for side in ("max", "min", "dif"))
+    return (
+        "WITH" + CONFUSION_SQL.format(**ORDERS) + rated[0] + f", named AS (SELECT priority, {final} FROM ratios)," + RUNNING_SQL.format(**ORDERS)
+        + ", areas AS (SELECT priority, round_even(sum(n * (cum_p - p / 2)) / (max(total_p) * max(total_n)), 8) AS auc, CAST(max(total_p) AS DOUBLE) AS np, CAST(max(total_n) AS DOUBLE) AS nn FROM running GROUP BY priority),"
+        + " zs AS (SELECT priority, auc, (auc - 0.5) / sqrt((0.25 + (np - 1 + nn - 1) * (1 / 3 - 0.25)) / (np * nn)) AS z FROM areas),"
+        + f" vertices AS (SELECT priority, CAST(cum_n AS DOUBLE) / total_n AS fpr, CAST(cum_p AS DOUBLE) / total_p AS tpr FROM running), reads AS (SELECT priority, {cuts} FROM vertices GROUP BY priority),"
+        + " placed AS (SELECT *, row_number() OVER (PARTITION BY priority ORDER BY s1 DESC, record_id DESC) AS down, row_number() OVER (PARTITION BY priority ORDER BY s1, record_id) AS up, count(*) OVER (PARTITION BY priority) AS whole FROM audit_orders),"
+        + f" outermost AS (SELECT priority, {_outer_sql()} FROM placed GROUP BY priority), differences AS (SELECT priority, {_pdif_sql()} FROM placed GROUP BY priority), pdifs AS (SELECT priority, {tails} FROM differences)"
+        + " SELECT c.priority, c.tp, c.fp, c.tn, c.fn, c.n_pos, c.n_neg, round(c.v, 4) AS pred_prob_var, n.* EXCLUDE (priority), round(z.auc, 6) AS auc, r.* EXCLUDE (priority), "
+        + outer + ", round(1 - " + frames.normal_cdf_sql("z.z") + ", 4) AS p_higher_auc, " + ", ".join(f"pdif{s}" for s in metrics.SHARES)
+        + " FROM confused c JOIN named n USING (priority) JOIN zs z USING (priority) JOIN reads r USING (priority) JOIN outermost o USING (priority) JOIN pdifs d USING (priority)"
+    )
+
+
+@query(_summary_sql(), ("audit_orders",))
+def m_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All metrics, normal tails included."""
+    out = metrics.metrics(frames.audit_orders(spark, sf_dir), KEY)
+    coarse = ["pred_prob_var", "p_higher_auc", *[f"pdif{s}" for s in metrics.SHARES]]
+    return out.select(*[F.round(c, 4 if c in coarse else 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
+
+
 @query(
     "WITH"
     + RUNNING_SQL.format(**EVENTS)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from leakscope.operators import drift, nested
 from leakscope.session import table
@@ -12,6 +13,41 @@ from leakscope.session import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+# ---------------------------------------------------------------- the SQL of problem 5: JSON taken apart step by step
+
+
+def _unwrapped(v: str) -> str:
+    """A value that may be JSON text; null for nulls and broken text."""
+    return f"(CASE WHEN json_type({v}) = 'VARCHAR' AND regexp_matches({v} ->> '$', '^\\s*[\\{{\\[]') THEN try_cast({v} ->> '$' AS JSON) WHEN json_type({v}) = 'NULL' THEN NULL ELSE {v} END)"
+_DIGITS = "try_cast(nullif(regexp_extract({x}, '(\\d+)$', 1), '') AS BIGINT)"
+P5_ROWS = f"""
+WITH files AS (SELECT * FROM report_files WHERE file_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY received_at DESC) = 1),
+whole AS (SELECT file_id, try_cast(ltrim(payload, chr(65279) || ' ' || chr(10) || chr(13) || chr(9)) AS JSON) AS j FROM files),
+parts AS (
+  SELECT file_id, NULL AS key, 0 AS id, j AS s FROM whole WHERE json_type(j) = 'OBJECT' AND (json_exists(j, '$.log_id') OR json_exists(j, '$.metadata'))
+  UNION ALL
+  SELECT file_id, e.key, e.id, {_unwrapped('e.value')} AS s FROM whole, json_each(j) e WHERE json_type(j) = 'OBJECT' AND NOT (json_exists(j, '$.log_id') OR json_exists(j, '$.metadata'))),
+sections AS (
+  SELECT row_number() OVER () AS sid, coalesce(s ->> '$.log_id', CASE WHEN contains(key, '_') THEN regexp_extract(key, '([^_]*)$', 1) ELSE key END) AS log_id, {_unwrapped("s -> '$.attack_experiment_logger'")} AS main, {_unwrapped("s -> '$.dummy_attack_experiments_logger'")} AS dummies
+  FROM parts WHERE json_type(s) = 'OBJECT' AND (key IS NULL OR json_exists(s, '$.log_id') OR json_exists(s, '$.metadata') OR json_exists(s, '$.attack_experiment_logger')
+    OR json_exists(s, '$.dummy_attack_experiments_logger') OR json_exists(s, '$.log_time') OR json_exists(s, '$.status'))),
+experiments AS (
+  SELECT sid, log_id, 0 AS experiment_no, main AS l FROM sections
+  UNION ALL
+  SELECT sid, log_id, coalesce({_DIGITS.format(x='e.key')}, row_number() OVER (PARTITION BY sid ORDER BY e.id) - 1) + 1, {_unwrapped('e.value')} FROM sections, json_each(dummies) e WHERE json_type(dummies) IN ('OBJECT', 'ARRAY')),
+loggers AS (SELECT row_number() OVER () AS xid, log_id, experiment_no, {_unwrapped("l -> '$.attack_instance_logger'")} AS runs FROM experiments WHERE json_type(l) = 'OBJECT'),
+listed AS (
+  SELECT xid, log_id, experiment_no, json_type(runs) AS kind, e.key, row_number() OVER (PARTITION BY xid ORDER BY e.id) - 1 AS place, {_unwrapped('e.value')} AS v FROM loggers, json_each(runs) e WHERE json_type(runs) IN ('OBJECT', 'ARRAY')),
+instances AS (
+  SELECT row_number() OVER () AS iid, log_id, experiment_no, coalesce(CASE WHEN kind = 'OBJECT' THEN {_DIGITS.format(x='key')} WHEN json_type(v -> '$.instance') IN ('UBIGINT', 'BIGINT', 'VARCHAR') THEN {_DIGITS.format(x="v ->> '$.instance'")} END, place) AS instance_no,
+    {_unwrapped("v -> '$.individual'")} AS block FROM listed WHERE json_type(v) = 'OBJECT'),
+fields AS (SELECT iid, {_unwrapped('f.value')} AS c FROM instances, json_each(block) f WHERE json_type(block) = 'OBJECT'),
+sizes AS (
+  SELECT iid, max(CASE WHEN json_type(c) = 'ARRAY' THEN json_array_length(c) WHEN c IS NULL THEN 0 ELSE 1 END) AS n FROM fields GROUP BY iid
+  UNION ALL SELECT iid, json_array_length(block) FROM instances WHERE json_type(block) = 'ARRAY')
+"""
+
+
 def _drift(spark: SparkSession, sf_dir: str) -> drift.Drift:
     return drift.drift(*[table(spark, sf_dir, t) for t in ("report_files", "report_fields", "attack_names")])
 
@@ -40,9 +76,21 @@ def p5_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.report_tables(table(spark, sf_dir, "report_files"))["instances"]
 
 
+def p5_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The instances with their numbers of entries, found through the keys that link the tables."""
+    tables = nested.report_tables(table(spark, sf_dir, "report_files"))
+    entries = tables["entries"].groupBy(F.col("parent_key").alias("row_key")).agg(F.count(F.lit(1)).alias("n_entries"))
+    both = tables["instances"].join(entries, "row_key", "left")
+    return both.select("log_id", *[F.col(c).cast("bigint").alias(c) for c in ("experiment_no", "instance_no")], F.coalesce("n_entries", F.lit(0)).alias("n_entries"))
+
+
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (p4_found, p4_versions, p4_table, p5_found, p5_reports, p5_instances)}
+    return {q.__name__: q for q in (p4_found, p4_versions, p4_table, p5_found, p5_sizes, p5_reports, p5_instances)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    keys = "SELECT log_id, CAST(experiment_no AS BIGINT) AS experiment_no, CAST(instance_no AS BIGINT) AS instance_no, "
+    return {
+        "p5_found": P5_ROWS + keys + "CAST(unnest(range(CAST(n AS BIGINT))) AS BIGINT) AS entry_no FROM instances JOIN sizes USING (iid)",
+        "p5_sizes": P5_ROWS + keys + "CAST(coalesce(n, 0) AS BIGINT) AS n_entries FROM instances LEFT JOIN sizes USING (iid)",
+    }
