@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from leakscope.functions.exprs import argmax, linspace
 from leakscope.operators import models, trees
-from leakscope.session import broadcast_if_small
+from leakscope.session import small_side
 
 #: Distinct values of a categorical feature beyond which the sweep is refused.
 MAX_VALUES = 10_000
@@ -138,7 +138,7 @@ def last_value_attack(records: DataFrame, grown: DataFrame, keys: list[str], dep
         raise ValueError(f"more than {MAX_VALUES} values: treat the feature as quantitative")
     values = values.groupBy(*keys).agg(F.sort_array(F.collect_list("actual")).alias("values"))
     base = trees.placed(trees.planted(known, grown, keys), depth).withColumn("label", F.col("prediction")).drop("leaf", "probs", "prediction")
-    swept = base.join(broadcast_if_small(values), keys).withColumn("candidate", F.explode("values")).drop("values")
+    swept = base.join(small_side(values), keys).withColumn("candidate", F.explode("values")).drop("values")
     swept = swept.withColumn("features", F.concat(F.slice("features", 1, F.size("features") - 1), F.array("candidate")))
     return infer_categorical(trees.placed(swept, depth), threshold, keys)
 
@@ -148,7 +148,7 @@ def first_value_bounds(records: DataFrame, grown: DataFrame, keys: list[str], de
     value = F.get("features", F.lit(index))
     rows = records.withColumn("actual", F.when(~F.isnan(value), value))
     ends = rows.groupBy(*keys).agg(F.min("actual").alias("low"), F.max("actual").alias("high"))
-    rows = trees.placed(trees.planted(rows, grown, keys), depth).withColumn("actual_score", F.get("probs", F.col("prediction"))).join(broadcast_if_small(ends), keys)
+    rows = trees.placed(trees.planted(rows, grown, keys), depth).withColumn("actual_score", F.get("probs", F.col("prediction"))).join(small_side(ends), keys)
     rows = rows.withColumns({"points": linspace(F.col("low"), F.col("high"), n_points), "x": trees.filled("features")})
     at = lambda p: trees.walk(F.transform("x", lambda v, i: F.when(i == index, p).otherwise(v)), F.col("splits"), depth)
     rows = rows.withColumn("scores", F.transform("points", lambda p: F.get(F.try_element_at("node_probs", at(p)), F.col("prediction"))))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from leakscope.functions.exprs import class_prob, logit
 from leakscope.operators import sampling, trees
-from leakscope.session import broadcast_if_small, cut_lineage
+from leakscope.session import cut_lineage, small_side
 
 
 def stored(spark: SparkSession, path: str, n_models: int, compute: Callable[[list[int]], DataFrame]) -> DataFrame:
@@ -37,7 +37,7 @@ def stored(spark: SparkSession, path: str, n_models: int, compute: Callable[[lis
 def tree_confidences(records: DataFrame, keys: list[str], n_models: int, max_depth: int, only: list[int] | None = None) -> DataFrame:
     """(keys, model_idx, record_id, in_train, conf): every record scored by every shadow tree of its key; conf is the logit of its class. only: the models wanted of those."""
     sizes = records.groupBy(*keys).agg(F.count_if(F.col("is_member") == 1).alias("n_members"))
-    sized = records.join(broadcast_if_small(sizes), keys)
+    sized = records.join(small_side(sizes), keys)
     sides = sampling.shadow_membership(sized, n_models, F.col("n_members"), keys=keys)
     sides = sides if only is None else sides.filter(F.col("model_idx").isin(*only))
     both = cut_lineage(sized.drop("n_members").join(sides, [*keys, "record_id"]))

@@ -7,9 +7,10 @@ metric engine. Folds are the same for tuning and for the repetitions.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 from itertools import product
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leakscope.functions.exprs import argmax, sorted_probs
@@ -67,12 +68,16 @@ def random_grid(n: int, seed: int = 0, **options: list) -> list[dict]:
     return [every[i] for i in sorted(drawn[:n])]
 
 
-def tuned(records: DataFrame, grid: list[dict], metric: str = "auc", **settings) -> dict:
-    """The parameters of the best mean metric over the repetitions' folds; the first wins a tie."""
+def tuned(records: DataFrame, grid: list[dict], metric: str | Callable[[], Column] = "auc", **settings) -> dict:
+    """The parameters of the best mean metric over the repetitions' folds; the first wins a tie.
+
+    metric: a column of the metrics, or a function that makes one of them, as F.col("tpr") - F.col("fpr").
+    """
+    value = F.col(metric) if isinstance(metric, str) else metric()
     best: tuple[float, dict] | None = None
     for params in grid:
-        runs = metrics.metrics(attack(records, params=params, **settings), ["rep"], p_values=metric == "p_higher_auc")
-        mean = runs.agg(F.avg(metric)).first()[0] or 0.0
+        runs = metrics.metrics(attack(records, params=params, **settings), ["rep"], p_values=not isinstance(metric, str) or metric == "p_higher_auc")
+        mean = runs.agg(F.avg(value)).first()[0] or 0.0
         if best is None or mean > best[0]:
             best = mean, params
     return best[1] if best else {}

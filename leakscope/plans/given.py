@@ -71,6 +71,13 @@ def layer_param_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structural.layer_parameters(layers, ["model_id"])
 
 
+@query(f"WITH {_RECORDS} SELECT record_id, round(ln(greatest(1e-16, coalesce(probs[y + 1], 0)) / (1 - greatest(1e-16, least(1 - 1e-16, coalesce(probs[y + 1], 0))))), 5) AS conf FROM rec WHERE y IS NOT NULL")
+def p_label_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The logit of a record's own class; a class without a probability has probability 0."""
+    rows = _records(spark, sf_dir).filter("y is not null")
+    return rounded(rows.select("record_id", exprs.logit(F.coalesce(exprs.class_prob(F.col("probs"), F.col("y")), F.lit(0.0))).alias("conf")), 5)
+
+
 # ---------------------------------------------------------------- samples and noise, in an order that SQL can compute
 
 _UNIT = "((({id} * 48271 + {seed} * 104729) % 2147483647) / 2147483647.0::DOUBLE)"

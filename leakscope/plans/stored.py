@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from leakscope.operators import lira, meta, metrics, shadow, significance
 from leakscope.plans import frames
 from leakscope.plans.audit import _WIDE_SQL, CONFUSION_SQL, EVENTS, KEY, ORDERS, RATES_SQL, RUNNING_SQL, _learnable, _matrix, m_roc_curve, m_rates, query, rounded
+from leakscope.plans.general import P5_ROWS, _unwrapped
 from leakscope.plans.given import _RECORDS, _records
 from leakscope.session import cut_lineage, scratch, table
 from leakscope.sources import bundle, report_json, report_sink
@@ -106,10 +107,20 @@ def io_loader_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- what reports on file say
 
 
-@query()
+def _number(path: str) -> str:
+    own = f"CASE json_type(block) WHEN 'ARRAY' THEN {_unwrapped('(block -> e)')} -> '{path}' WHEN 'OBJECT' THEN CASE WHEN json_type({_unwrapped(f"(block -> '{path}')")}) = 'ARRAY' THEN {_unwrapped(f"(block -> '{path}')")} -> e WHEN e = 0 THEN {_unwrapped(f"(block -> '{path}')")} END END"
+    value = f"CASE WHEN json_type({own}) IN ('DOUBLE', 'UBIGINT', 'BIGINT') THEN CAST(({own}) ->> '$' AS DOUBLE) END"
+    return f"CASE WHEN isfinite({value}) THEN {value} END"
+
+
+@query(
+    P5_ROWS
+    + ", places AS (SELECT log_id, experiment_no, instance_no, block, unnest(range(CAST(n AS BIGINT))) AS e FROM instances JOIN sizes USING (iid))"
+    + f" SELECT log_id, CAST(experiment_no AS INTEGER) AS experiment_no, CAST(instance_no AS BIGINT) AS instance_no, CAST(e AS INTEGER) AS entry_no, {_number('member')} AS member, {_number('member_prob')} AS member_prob FROM places"
+)
 def report_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the individual entries of all reports say of their records."""
-    return report_json.entry_scores(table(spark, sf_dir, "report_files"))
+    return report_json.entry_scores(table(spark, sf_dir, "report_files")).select("log_id", "experiment_no", "instance_no", "entry_no", "member", "member_prob")
 
 
 @query()

@@ -77,6 +77,8 @@ def test_lira(spark):
     assert lira.scores(targets, lira.shadow_stats(shadow), "offline").first().s1 == pytest.approx(0.8413447, abs=1e-6)
     online = lira.scores(targets, lira.shadow_stats(shadow), "online-carlini").first()
     assert online.s1 == pytest.approx(0.5) and online.s0 == pytest.approx(-0.5)
+    many = spark.createDataFrame([(m, r, False, float(m % 2) * r) for m in range(20) for r in (0, 1)], shadow.schema)
+    assert lira.share_non_normal(lira.normality(many)).first().n_normal == 1  # two values are far from normal; no spread has no p-value
     with pytest.raises(ValueError, match="Unsupported"):
         lira.scores(targets, lira.shadow_stats(shadow), "other")
 
@@ -153,6 +155,8 @@ def test_models_and_attacks(spark):
     rows = [(i, int(i < 120), int((i * 7) % 10 > 4), [((i * 7) % 10) / 10.0, float(i % 3)]) for i in range(200)]
     df = spark.createDataFrame(rows, "record_id int, is_member int, y int, features array<double>")
     tree = models.fit(df.filter("is_member = 1"), "DecisionTreeClassifier", maxDepth=3)
+    steps = models.pipeline(models.estimator("DecisionTreeClassifier", maxDepth=3)).fit(models.vectorised(df.filter("is_member = 1")))
+    assert models.inner_model(steps).numNodes == tree.numNodes and models.inner_model(tree) is tree
     scored = models.losses(models.score(tree, df))
     assert scored.agg(F.avg(F.col("correct").cast("double"))).first()[0] == 1
     assert models.parameter_count(tree) == 2 * (tree.numNodes // 2) + (tree.numNodes + 1) // 2

@@ -148,7 +148,8 @@ def test_searches(records):
     assert grid == [{"maxDepth": 1, "numTrees": 2}, {"maxDepth": 2, "numTrees": 2}]
     few = worstcase.random_grid(3, **worstcase.GRIDS["RandomForestClassifier"])
     assert len(few) == 3 and few == worstcase.random_grid(3, **worstcase.GRIDS["RandomForestClassifier"]) and len(worstcase.random_grid(99, a=[1, 2])) == 2
-    assert worstcase.tuned(records, grid, n_reps=1) in grid and worstcase.tuned(records, []) == {}
+    gap = worstcase.tuned(records, grid, metric=lambda: F.col("tpr") - F.col("fpr"), n_reps=1)
+    assert worstcase.tuned(records, grid, n_reps=1) in grid and gap in grid and worstcase.tuned(records, []) == {}
 
 
 def test_nan_does_not_stretch_the_grid(spark):
