@@ -141,14 +141,20 @@ def _listed(mix: DataFrame) -> DataFrame:
     return listed
 
 
-def mixture(documents: DataFrame, mix: DataFrame, total: float | None = None, vocabulary: str = BYTE_BPE_50K, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+def mixture(documents: DataFrame, mix: DataFrame, total: float | str | None = None, vocabulary: str = BYTE_BPE_50K, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """The documents used (doc_id, source, n_tokens, copies), and the report of every listed source
-    (source, target_share, max_repeats, n_documents, available_tokens, n_used, copies, tokens, actual_share, reached)."""
+    (source, target_share, max_repeats, n_documents, available_tokens, n_used, copies, tokens, actual_share, reached).
+
+    total: tokens of the mixture, or "available" for as many as the listed sources have; by default
+    the largest total at which every source that has documents reaches its share.
+    """
     spark = documents.sparkSession
     sizes = cut_lineage(count_tokens(documents, "doc_id", "text", vocabulary, keep=("source",)).filter("source is not null and n_tokens > 0"))
     supply = sizes.groupBy("source").agg(F.count(F.lit(1)).alias("n_documents"), F.sum("n_tokens").alias("available_tokens"))
     listed = cut_lineage(_listed(mix).join(supply, "source", "left").fillna(0, ["n_documents", "available_tokens"]))
     rows = listed.collect()  # one row of each listed source, BROADCAST_ROWS at most
+    if total == "available":
+        total = float(sum(r.available_tokens for r in rows))
     given = amounts([{"source": r.source, "share": r.target_share, "cap": r.max_repeats, "tokens": r.available_tokens} for r in rows], total)
     stock = {r.source: r for r in rows}
     times = {s: tokens / stock[s].available_tokens for s, tokens in given.items()}

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leakscope.session import BROADCAST_ROWS, broadcast_if_small, cut_lineage, latest_rows
+from leakscope.session import BROADCAST_ROWS, broadcast_if_small, cut_lineage, latest_rows, small_side
 
 TRAIN, EVALUATION = "train", ("test", "test_late")
 #: Values agree up to TOLERANCE; one position of SHARE may disagree. SLACK absorbs binary rounding of decimal values.
@@ -312,7 +312,7 @@ def _pairs(shared: DataFrame) -> DataFrame:
 def _in_blocks(large: DataFrame) -> DataFrame:
     """All pairs across the splits of each large run, by blocks of about BLOCK members a side."""
     sizes = large.groupBy("run").agg(*[F.ceil(F.count(f"{s}_class") / BLOCK).cast("bigint").alias(f"{s}_parts") for s in ("train", "evaluation")])
-    sized = large.join(broadcast_if_small(sizes.filter("train_parts > 0 and evaluation_parts > 0")), "run")
+    sized = large.join(small_side(sizes.filter("train_parts > 0 and evaluation_parts > 0")), "run")
     part = lambda s: F.pmod(F.xxhash64(f"{s}_class"), F.col(f"{s}_parts")).alias(f"{s}_part")
     every = lambda s: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(f"{s}_parts") - 1)).alias(f"{s}_part")
     ours = sized.filter("train_class is not null").select("run", "train_class", part("train"), every("evaluation"))
@@ -322,11 +322,11 @@ def _in_blocks(large: DataFrame) -> DataFrame:
 
 def _rest_of_runs(large: DataFrame, kinds: DataFrame) -> DataFrame:
     """The members of large runs that hold both splits as classes of a group of their own, without the positions of the window."""
-    inside = large.groupBy("run", F.coalesce("train_class", "evaluation_class").alias("class_id")).agg(
+    inside = cut_lineage(large.groupBy("run", F.coalesce("train_class", "evaluation_class").alias("class_id")).agg(
         F.max("start").alias("start"), F.max("length").alias("length"), F.max(F.col("train_class").isNotNull()).alias("in_train"), F.max(F.col("evaluation_class").isNotNull()).alias("in_evaluation")
-    )
+    ))
     both = inside.groupBy("run").agg(F.bool_or("in_train").alias("t"), F.bool_or("in_evaluation").alias("e")).filter("t and e").select("run")
-    inside = inside.join(broadcast_if_small(both), "run").join(kinds.select("class_id", "features", "size", "k"), "class_id")
+    inside = inside.join(small_side(both), "run").join(kinds.select("class_id", "features", "size", "k"), "class_id")
     begin = F.col("size") - F.col("start")
     rest = F.concat(F.slice("features", 1, begin), F.slice("features", begin + F.col("length") + 1, F.col("size")))
     return inside.select("class_id", F.col("run").alias("grp"), rest.alias("features"), (F.col("size") - F.col("length")).alias("size"), "k", "in_train", "in_evaluation")

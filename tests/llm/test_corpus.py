@@ -65,6 +65,9 @@ def test_mixture_reaches_shares(spark, monkeypatch):
         assert by[s].tokens == sum(r.copies * r.n_tokens for r in rows if r.source == s)
     assert by["none"].tokens == 0 and not by["none"].reached and by["zero"].reached
     assert sorted(map(tuple, mixture.mixture(df, mix)[0].collect())) == sorted(map(tuple, rows))  # the same choice again
+    full = {r.source: r for r in mixture.mixture(df, mix, total="available")[1].collect()}
+    assert all(r.tokens <= r.max_repeats * r.available_tokens for r in full.values()) and full["b"].copies == 270  # at its cap
+    assert sum(r.tokens for r in full.values()) > 1.05 * sum(r.tokens for r in by.values())
 
 
 def test_larger_total_fills_caps():
