@@ -11,11 +11,12 @@ are none. Lines of numbers or initials are records, as tables of prices, ships,
 results, names and contents have them; lines in capitals are headings; neither
 speaks for or against. The running text of all other lines is cut at the ends of
 sentences, and after lines of verse (capitalised, with one comma, at the end). A
-piece is a sentence if it ends, has some words but not endlessly many, hardly
-repeats them and is not mostly separators; a piece that breaks off counts if it is
-short, repeats nothing and holds no link. Search words strung together either
-never end, or end after every phrase, or repeat. A shape of plain lines is a
-sentence shape if half of its words or more lie in sentences.
+piece is a sentence if it ends (scans read a dot as ; too), has some words but not
+endlessly many, hardly repeats them (long ones even less) and is not mostly
+separators; a piece that breaks off counts if it is short, repeats nothing and
+holds no link. Search words strung together either never end, or end after every
+phrase, or repeat. A shape of plain lines is a sentence shape if half of its words
+or more lie in sentences.
 
 The work is done by array operations over the code points of many pages at once,
 in the task that read them; every page is looked at whole. Only the identifiers of
@@ -40,8 +41,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words of an ended sentence, words of a piece that breaks off, and shares of distinct words they must reach.
-LEAST_WORDS, MOST_WORDS, MOST_BROKEN, DISTINCT, DISTINCT_BROKEN = 4, 100, 30, 0.5, 0.7
+#: Words of an ended sentence, words from which it is long, and words of a piece that breaks off; shares of distinct words
+#: asked of an ended sentence, and of long ones and pieces that break off.
+LEAST_WORDS, MOST_WORDS, LONG_WORDS, MOST_BROKEN, DISTINCT, DISTINCT_LONG = 4, 100, 45, 30, 0.5, 0.7
 #: Pieces of up to so many words that end are not searched for repeats.
 PLAIN_WORDS = 20
 #: A piece is strung together from so many separators on, if there is one for every so many words.
@@ -68,7 +70,7 @@ def _kind_of(code: int) -> int:
         return DROPPED
     if name[0] == "L":
         return UPPER if name in ("Lu", "Lt") else LOWER
-    return DIGIT if name[0] == "N" else END if c in ".!?" else OTHER
+    return DIGIT if name[0] == "N" else END if c in ".!?;" else OTHER
 
 
 @cache
@@ -163,8 +165,8 @@ def _in_sentences(t: _Tokens, apart: np.ndarray, paused: np.ndarray) -> np.ndarr
     unlike = np.bincount(at[np.unique(both, return_index=True)[1]], minlength=len(first)) / np.maximum(size, 1)
     unlike = np.where(looked, unlike, 1.0)
     strung = (strings >= SEPARATORS) & (strings * PER_SEPARATOR >= size)
-    whole = ended & (size >= LEAST_WORDS) & (size <= MOST_WORDS) & (unlike >= DISTINCT)
-    broken = ~ended & (size > 0) & (size <= MOST_BROKEN) & (unlike >= DISTINCT_BROKEN) & (odd == 0)
+    whole = ended & (size >= LEAST_WORDS) & (size <= MOST_WORDS) & (unlike >= np.where(size > LONG_WORDS, DISTINCT_LONG, DISTINCT))
+    broken = ~ended & (size > 0) & (size <= MOST_BROKEN) & (unlike >= DISTINCT_LONG) & (odd == 0)
     return (whole | broken)[piece] & ~strung[piece] & ~apart & t.words
 
 
