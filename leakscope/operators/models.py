@@ -246,8 +246,13 @@ def platt(margin, y, n_steps: int = 50):
     return b
 
 
-def private_svms(df: DataFrame, keys: list[str], c: float = 1.0, eps: float = 10.0, dhat: int = 20, gamma: float = 0.1, seed: int = 0) -> DataFrame:
-    """(keys, record_id, probs, prediction): PrivateSVM of every key, a key's rows in one task.
+#: Rows of a key up to which its private SVM is fitted in one task.
+GROUP_ROWS = 200_000
+
+
+def private_svms(df: DataFrame, keys: list[str], c: float = 1.0, eps: float = 10.0, dhat: int = 20, gamma: float = 0.1, seed: int = 0, most_rows: int = GROUP_ROWS) -> DataFrame:
+    """(keys, record_id, probs, prediction): PrivateSVM of every key. The rows of a key of up to most_rows rows are fitted
+    in one task, of larger keys by the distributed PrivateSVM, one key after another; both minimise the same sum.
 
     Defined results: missing values are 0. The model is for labels 0 and 1: records of keys
     with another label, or with one label only, have null probs and prediction.
@@ -281,4 +286,15 @@ def private_svms(df: DataFrame, keys: list[str], c: float = 1.0, eps: float = 10
     missing = F.transform("features", lambda v: F.coalesce(v, F.lit(0.0)))
     rows = df.dropna(subset=[*keys, "features", "y"]).select(*keys, "record_id", "y", missing.alias("features"))
     schema = ", ".join([*[f"{k} {kinds[k]}" for k in keys], f"record_id {kinds['record_id']}", "probs array<double>", "prediction int"])
-    return rows.groupBy(*keys).applyInPandas(one, schema)
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_set("y")).alias("labels"))  # labels: classes of one model
+    large = sizes.filter(F.col("n") > most_rows).collect()  # at most the number of rows over most_rows
+    out = None
+    for key in large:
+        own = lambda df, key=key: df.filter(" AND ".join(f"`{k}` <=> {key[k]!r}" for k in keys))
+        mine = own(rows)
+        scored = PrivateSVM(c, eps, dhat, gamma, seed).fit(mine).score(mine) if key.labels == [0, 1] else mine.withColumns({"probs": F.lit(None).cast("array<double>"), "prediction": F.lit(None).cast("int")})
+        part = scored.select(*keys, "record_id", "probs", "prediction")
+        out = part if out is None else out.unionByName(part)
+    rest = rows if not large else rows.join(df.sparkSession.createDataFrame([tuple(r[k] for k in keys) for r in large], sizes.select(*keys).schema), keys, "left_anti")
+    small = rest.groupBy(*keys).applyInPandas(one, schema)
+    return small if out is None else small.unionByName(out)

@@ -74,6 +74,10 @@ def test_attributes_of_every_target_as_one_by_one(spark):
 
 def test_private_svms(records, spark):
     got = models.private_svms(records, KEYS, dhat=10).collect()
+    split = models.private_svms(records, KEYS, dhat=10, eps=0, most_rows=80).collect()  # both targets are large now
+    alone = {r.record_id: r.prediction for r in models.private_svms(records, KEYS, dhat=10, eps=0).collect()}
+    assert len(split) == 210 and all((r.probs is None) == (r.target_id == 1) for r in split)
+    assert sum(alone[r.record_id] == r.prediction for r in split) >= 200
     assert len(got) == 210 and all((r.probs is None) == (r.target_id == 1) for r in got)  # three classes have no private SVM
     x = np.random.default_rng(1).normal(size=(200, 3))
     y = (x[:, 0] + 0.5 * x[:, 1] + np.random.default_rng(2).normal(size=200) > 0).astype(int)
