@@ -10,8 +10,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Largest number of rows of a side that may be broadcast after its size was checked.
-BROADCAST_ROWS = 20_000
+#: Largest number of rows, and of bytes as JSON, of a side that may be broadcast after its size was checked.
+BROADCAST_ROWS, BROADCAST_BYTES = 20_000, 32 << 20
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -75,14 +75,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting that the side has at most max_rows rows.
+    """Hint a broadcast only after counting that the side has at most max_rows rows and BROADCAST_BYTES bytes.
 
     Larger sides come back unhinted, so the join is then a shuffle join. The
     count reads no more than max_rows + 1 rows.
     """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+    size = F.length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    found = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("size")).first()
+    return F.broadcast(df) if found.n <= max_rows and found.size <= BROADCAST_BYTES else df
 
 
 def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
