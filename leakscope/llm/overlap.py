@@ -355,11 +355,11 @@ def candidates(kinds: DataFrame, places: DataFrame) -> DataFrame:
 def _covered(wrong: Column, size: Column, places: Column) -> Column:
     """Positions in agreeing stretches that hold a whole window; wrong: running number of disagreements, from 0."""
     held = lambda p, w: F.get(wrong, F.least(p, w["start"])) == F.get(wrong, F.greatest(p + 1, w["start"] + w["length"]))
-    return F.size(F.filter(F.sequence(F.lit(0), size - 1), lambda p: F.exists(places, lambda w: held(p, w))))
+    return F.filter(F.sequence(F.lit(0), size - 1), lambda p: F.exists(places, lambda w: held(p, w)))
 
 
 def matched_classes(kinds: DataFrame) -> DataFrame:
-    """(train_class, evaluation_class, coverage, n_disagree): classes that match across splits; a class in both splits matches itself."""
+    """(train_class, evaluation_class, covered, size, n_disagree): classes that match across splits, with the positions their spans cover; a class in both splits matches itself."""
     places = cut_lineage(windows(kinds))
     pairs = cut_lineage(candidates(kinds, places))
     hint = _hint(pairs)
@@ -370,9 +370,10 @@ def matched_classes(kinds: DataFrame) -> DataFrame:
     pairs = pairs.withColumn("n_disagree", F.size(F.filter("agree", lambda x: ~x))).filter(F.col("n_disagree") <= allowed(F.col("size")))
     wrong = F.aggregate("agree", F.array(F.lit(0)), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + F.when(x, 0).otherwise(1))))
     found = pairs.join(broadcast_if_small(places), "grp").withColumn("wrong", wrong)
-    found = found.select("train_class", "evaluation_class", (_covered(F.col("wrong"), F.col("size"), F.col("windows")) / F.col("size")).alias("coverage"), "n_disagree")
+    found = found.select("train_class", "evaluation_class", _covered(F.col("wrong"), F.col("size"), F.col("windows")).alias("covered"), "size", "n_disagree")
+    every = F.sequence(F.lit(0), F.col("size") - 1)
     itself = kinds.filter("in_train and in_evaluation").select(
-        F.col("class_id").alias("train_class"), F.col("class_id").alias("evaluation_class"), F.lit(1.0).alias("coverage"), F.lit(0).alias("n_disagree")
+        F.col("class_id").alias("train_class"), F.col("class_id").alias("evaluation_class"), every.alias("covered"), "size", F.lit(0).alias("n_disagree")
     )
     return found.unionByName(itself)
 
@@ -384,7 +385,8 @@ def _hint(df: DataFrame):
 
 def _overlaps(rows: DataFrame) -> DataFrame:
     kinds = cut_lineage(classes(rows))
-    matches = cut_lineage(matched_classes(kinds))
+    matches = matched_classes(kinds).withColumn("coverage", F.size("covered") / F.col("size")).drop("covered", "size")
+    matches = cut_lineage(matches)
     hint = _hint(matches)
     for s in ("train", "evaluation"):
         names = kinds.select(F.col("class_id").alias(f"{s}_class"), F.col("h1").alias(f"{s}_h1"), F.col("h2").alias(f"{s}_h2"))
@@ -403,6 +405,20 @@ def overlaps(records: DataFrame) -> DataFrame:
     return _overlaps(cut_lineage(members(records)))
 
 
+def record_coverage(records: DataFrame) -> DataFrame:
+    """(record_id, target_id, split, source, n_classes, coverage): of each overlapping evaluation record the number of different training
+    records it matches, and the share of its positions that the merged spans of all of them cover."""
+    rows = cut_lineage(members(records))
+    kinds = cut_lineage(classes(rows))
+    matches = cut_lineage(matched_classes(kinds))
+    counts = matches.groupBy("evaluation_class").agg(F.count(F.lit(1)).alias("n_classes"), F.max("size").alias("size"))
+    # positions of a class are few: at most its length is left of any number of partners before the shuffle
+    spans = matches.select("evaluation_class", F.explode("covered").alias("pos")).distinct().groupBy("evaluation_class").agg(F.count(F.lit(1)).alias("n_covered"))
+    merged = counts.join(spans, "evaluation_class").join(kinds.select(F.col("class_id").alias("evaluation_class"), "h1", "h2"), "evaluation_class")
+    own = rows.filter(F.col("split") != TRAIN).select("record_id", "target_id", "split", "source", "h1", "h2")
+    return own.join(merged, ["h1", "h2"]).select("record_id", "target_id", "split", "source", "n_classes", (F.col("n_covered") / F.col("size")).alias("coverage"))
+
+
 def found_pairs(records: DataFrame) -> DataFrame:
     """(record_a, record_b): the overlapping pairs, smaller id first."""
     pair = overlaps(records)

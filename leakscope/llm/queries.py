@@ -20,6 +20,10 @@ def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.overlap_report(table(spark, sf_dir, "records"))
 
 
+def p1_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.record_coverage(table(spark, sf_dir, "records"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = topn.top_scores(table(spark, sf_dir, "member_scores"), table(spark, sf_dir, "attack_names"))
     return top.select("target_id", "attack_name", "score_id")
@@ -55,5 +59,5 @@ def p8_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (p1_found, p1_report, p2_found, p3_found, p6_ids, p7_mix, p7_report, p7_full, p8_found, p8_shapes)
+    found = (p1_found, p1_report, p1_coverage, p2_found, p3_found, p6_ids, p7_mix, p7_report, p7_full, p8_found, p8_shapes)
     return {q.__name__: q for q in found}

@@ -95,6 +95,17 @@ def test_large_runs_change_nothing(spark, monkeypatch, request):
     assert detailed(spark, rows) == plain
 
 
+def test_spans_of_all_partners_are_merged(spark):
+    base = [float(i) for i in range(16)]
+    one, two = base[:3] + [99.0] + base[4:], base[:12] + [99.0] + base[13:]
+    rows = [(1, 1, "test", base), (2, 1, "train", one), (3, 1, "train", two), (4, 1, "train", two), (5, 1, "test_late", two), (6, 1, "test", [50.0] * 16)]
+    whole = {r.record_id: (r.n_classes, r.coverage) for r in overlap.record_coverage(records(spark, rows)).collect()}
+    pairs = {(r.train_record, r.evaluation_record): r.coverage for r in overlap.overlaps(records(spark, rows)).collect()}
+    # the pairs differ in one place each, and in different stretches: together they cover everything
+    assert whole[1] == (2, 1.0) and whole[5][0] == 2 and whole[5][1] == 1.0 and set(whole) == {1, 5}
+    assert pairs[2, 1] < 1 and pairs[3, 1] < 1 and pairs[3, 5] == pairs[4, 5] == 1.0
+
+
 def test_many_constant_features_at_a_border_do_not_explode(spark):
     rng = random.Random(6)
     rows = [(i, 1, "train" if i % 2 else "test", [0.1266] * 60 + [round(rng.gauss(0, 1), 3) for _ in range(12)]) for i in range(30)]
