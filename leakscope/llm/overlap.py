@@ -9,7 +9,8 @@ concatenated, and of every text only the k + 1 suffixes that begin at a window a
 kept. They are partitioned by target, window and their first symbols, and sorted.
 Adjacent suffixes whose common prefix is as long as the window form a run; members
 of both splits in a run share a span. The features of such pairs are compared
-exactly: spans are extended while values agree, and merged into coverage.
+exactly: spans are extended while values agree, further ones of the pair are added,
+and all are merged into coverage.
 
 Nothing is lost to the grid: a training record has one text, an evaluation record
 has a variant for every cell its value could meet within the tolerance. Stretches
@@ -50,8 +51,8 @@ TRAIN, EVALUATION = "train", ("test", "test_late")
 TOLERANCE, SHARE, SLACK = 0.02, 8, 1e-9
 #: Width and offset of the grid. The offset keeps whole numbers away from cell borders.
 GRID, OFFSET = 0.2, 0.367
-#: Most positions of a window, and symbols of a suffix that decide its partition.
-WINDOW, LEAD = 8, 4
+#: Most positions of a window, symbols of a suffix that decide its partition, and positions of a span.
+WINDOW, LEAD, SPAN = 8, 4, 2
 #: Pairs of one run that a task emits itself; members of a side of a block in which a larger run is compared.
 RUN_PAIRS, BLOCK = 4_096, 512
 #: Targets with more than 1/HOT of all records (HOT at most, therefore) are split by the hash of the record.
@@ -352,10 +353,11 @@ def candidates(kinds: DataFrame, places: DataFrame) -> DataFrame:
     return pairs.distinct()
 
 
-def _covered(wrong: Column, size: Column, places: Column) -> Column:
-    """Positions in agreeing stretches that hold a whole window; wrong: running number of disagreements, from 0."""
-    held = lambda p, w: F.get(wrong, F.least(p, w["start"])) == F.get(wrong, F.greatest(p + 1, w["start"] + w["length"]))
-    return F.filter(F.sequence(F.lit(0), size - 1), lambda p: F.exists(places, lambda w: held(p, w)))
+def _covered(wrong: Column, size: Column) -> Column:
+    """Positions in agreeing stretches of at least SPAN positions (all, if there are fewer); wrong: running number of disagreements, from 0."""
+    span = F.least(F.lit(SPAN), size)
+    begins = lambda p: F.sequence(F.greatest(F.lit(0), p - span + 1), F.least(p, size - span))
+    return F.filter(F.sequence(F.lit(0), size - 1), lambda p: F.exists(begins(p), lambda a: F.get(wrong, a) == F.get(wrong, a + span)))
 
 
 def matched_classes(kinds: DataFrame) -> DataFrame:
@@ -363,14 +365,13 @@ def matched_classes(kinds: DataFrame) -> DataFrame:
     places = cut_lineage(windows(kinds))
     pairs = cut_lineage(candidates(kinds, places))
     hint = _hint(pairs)
-    full = kinds.select("class_id", "features", "grp")
-    pairs = hint(pairs).join(full.select(F.col("class_id").alias("train_class"), F.col("features").alias("train_features"), "grp"), "train_class")
+    full = kinds.select("class_id", "features")
+    pairs = hint(pairs).join(full.select(F.col("class_id").alias("train_class"), F.col("features").alias("train_features")), "train_class")
     pairs = hint(pairs).join(full.select(F.col("class_id").alias("evaluation_class"), F.col("features").alias("evaluation_features")), "evaluation_class")
     pairs = pairs.withColumns({"agree": agreeing(F.col("train_features"), F.col("evaluation_features")), "size": F.size("train_features")})
     pairs = pairs.withColumn("n_disagree", F.size(F.filter("agree", lambda x: ~x))).filter(F.col("n_disagree") <= allowed(F.col("size")))
     wrong = F.aggregate("agree", F.array(F.lit(0)), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + F.when(x, 0).otherwise(1))))
-    found = pairs.join(broadcast_if_small(places), "grp").withColumn("wrong", wrong)
-    found = found.select("train_class", "evaluation_class", _covered(F.col("wrong"), F.col("size"), F.col("windows")).alias("covered"), "size", "n_disagree")
+    found = pairs.withColumn("wrong", wrong).select("train_class", "evaluation_class", _covered(F.col("wrong"), F.col("size")).alias("covered"), "size", "n_disagree")
     every = F.sequence(F.lit(0), F.col("size") - 1)
     itself = kinds.filter("in_train and in_evaluation").select(
         F.col("class_id").alias("train_class"), F.col("class_id").alias("evaluation_class"), every.alias("covered"), "size", F.lit(0).alias("n_disagree")
@@ -400,7 +401,7 @@ def _overlaps(rows: DataFrame) -> DataFrame:
 def overlaps(records: DataFrame) -> DataFrame:
     """(target_id, train_record, evaluation_record, split, source, coverage, n_disagree): every overlapping pair; split and source of the evaluation record.
 
-    coverage: the share of positions that lie in agreeing stretches holding a whole window.
+    coverage: the share of positions that lie in spans, agreeing stretches of at least SPAN positions.
     """
     return _overlaps(cut_lineage(members(records)))
 
