@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from leakscope.operators import equivalence, models, rules
 from leakscope.session import cut_lineage, scratch
+from leakscope.sources import report_sink
 
 #: The parameters of each kind under the names of the rules, with their defaults and what they are called here.
 PARAMETERS = {
@@ -137,7 +138,8 @@ class SafeModel:
         return f"saved as {path}"
 
     def request_release(self, path: str, records: DataFrame | None = None, attacks: dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> dict:
-        """Save the model with its report (path + "-report"): checks, recommendation, and the attacks run on records."""
+        """Save the model with its report (path + "-report"): checks, recommendation, and the numbers of rows of the attacks
+        run on records; their rows, each with its run, are appended to the report table path + "-attacks"."""
         message = self.save(path)
         self.disclosive, self.messages = self.preliminary_check()
         changed, how = self.posthoc_check()
@@ -148,6 +150,10 @@ class SafeModel:
         }
         if records is not None and not changed:
             scored = self.score(records)
-            out["attacks"] = {name: [r.asDict() for r in run(scored).limit(1_000).collect()] for name, run in (attacks or {}).items()}  # a row of each repetition
+            out["attacks"] = {}
+            for name, run in (attacks or {}).items():
+                rows = cut_lineage(report_sink.report_rows(run(scored), name, path, "run"))
+                report_sink.append_report(rows, f"{path}-attacks")
+                out["attacks"][name] = rows.count()
         self.spark.createDataFrame([(json.dumps(out, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}-report")
         return out

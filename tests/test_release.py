@@ -32,7 +32,8 @@ def test_a_safe_tree_is_released_and_a_changed_one_is_not(spark, records, tmp_pa
     tree.fit(records.filter("is_member = 1"))
     assert tree.k_anonymity >= 6 and tree.posthoc_check() == (False, [])
     out = tree.request_release(str(tmp_path / "tree.model"), records, {"worstcase": lambda r: cli.run_worstcase(r, n_reps=1, params={"numTrees": 2, "maxDepth": 2})})
-    assert out["recommendation"] == "Proceed to release" and len(out["attacks"]["worstcase"]) == 2
+    assert out["recommendation"] == "Proceed to release" and out["attacks"] == {"worstcase": 2}
+    assert {r.run for r in report_sink.read_reports(spark, str(tmp_path / "tree.model-attacks"), ["worstcase"]).collect()} == {"attack_0", "dummy_0"}
     again = models.load("DecisionTreeClassifier", str(tmp_path / "tree.model"))
     assert again.numNodes == tree.model.numNodes
     assert json.loads(spark.read.text(str(tmp_path / "tree.model-report")).first()[0])["model"] == "DecisionTreeClassifier"
