@@ -28,6 +28,8 @@ SHIPPED = [
     ("SVC", 4, 1, "min", "eps", "10"),
     ("SVC", 5, 1, "min", "gamma", "0.1"),
 ]
+#: The recommendation as a report prints it.
+RELEASE, REFUSE = "Proceed to release", "Do not allow release"
 _SCHEMA = "model_type string, rule_id int, parent_id int, operator string, keyword string, value string"
 
 
@@ -135,4 +137,4 @@ def release(checked: DataFrame, changed: DataFrame, saved: DataFrame) -> DataFra
     both = checked.join(tampered, "model_id", "left").join(kept, "model_id", "left")
     reason = F.when(F.col("kept").isNull(), "no saved copy").when(F.coalesce("tampered", F.lit(False)), "parameters changed after fitting").when(F.col("disclosive"), F.col("messages")).otherwise("parameters are within the rules")
     ok = F.col("kept").isNotNull() & ~F.coalesce("tampered", F.lit(False)) & ~F.col("disclosive")
-    return both.select("model_id", F.when(ok, "Proceed to release").otherwise("Do not allow release").alias("recommendation"), reason.alias("reason"))
+    return both.select("model_id", F.when(ok, RELEASE).otherwise(REFUSE).alias("recommendation"), reason.alias("reason"))

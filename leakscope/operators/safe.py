@@ -146,7 +146,7 @@ class SafeModel:
         reasons = [*how, *([self.messages] if self.disclosive else [])]
         out = {
             "model": self.kind, "params": self.params, "saved": message, "k_anonymity": self.k_anonymity,
-            "recommendation": "Do not allow release" if reasons else "Proceed to release", "reason": "\n".join(reasons) or "parameters are within the rules",
+            "recommendation": rules.REFUSE if reasons else rules.RELEASE, "reason": "\n".join(reasons) or "parameters are within the rules",
         }
         if records is not None and not changed:
             scored = self.score(records)

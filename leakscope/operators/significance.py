@@ -16,7 +16,12 @@ from leakscope.session import cut_lineage
 P_THRESH = 0.05
 #: Shares and bounds of the recommendation.
 SIGNIFICANT_SHARE, MEAN_AUC, MIN_LEAF = 0.1, 0.65, 5
+#: The reasons as a report prints them.
 INSTANCE_MODELS = {"SVC": "Model is SVM", "KNeighborsClassifier": "Model is kNN"}
+MANY_SIGNIFICANT, FEW_SIGNIFICANT = ">10% AUC are statistically significant", "<10% AUC are statistically significant"
+HIGH_AUC, LOW_AUC = f"Attack AUC > threshold of {MEAN_AUC}", f"Attack AUC <= threshold of {MEAN_AUC}"
+SMALL_LEAF, LARGE_LEAF = f"Min samples per leaf < {MIN_LEAF}", f"Min samples per leaf > {MIN_LEAF}"
+SIGNIFICANT, NOT_SIGNIFICANT = "Significant at p={p:g}", "Not significant at p={p:g}"
 
 
 def corrected(instances: DataFrame, keys: list[str], p: str = "p_higher_auc", alpha: float = P_THRESH) -> DataFrame:
@@ -67,7 +72,7 @@ def null_range(sd: Column) -> Column:
 
 def significance_text(p: Column, threshold: float = P_THRESH, strict: bool = False) -> Column:
     holds = p < threshold if strict else p <= threshold
-    return F.when(holds, f"Significant at p={threshold:g}").otherwise(f"Not significant at p={threshold:g}")
+    return F.when(holds, SIGNIFICANT.format(p=threshold)).otherwise(NOT_SIGNIFICANT.format(p=threshold))
 
 
 def recommendation(instances: DataFrame, key: str = "experiment") -> DataFrame:
@@ -77,10 +82,10 @@ def recommendation(instances: DataFrame, key: str = "experiment") -> DataFrame:
     many, high = F.col("share") > SIGNIFICANT_SHARE, F.col("mean_auc") > MEAN_AUC
     side = lambda c: F.when(c, "support_rejection").otherwise("support_release")
     reasons = [
-        F.struct(side(many).alias("bucket"), F.when(many, ">10% AUC are statistically significant").otherwise("<10% AUC are statistically significant").alias("reason")),
+        F.struct(side(many).alias("bucket"), F.when(many, MANY_SIGNIFICANT).otherwise(FEW_SIGNIFICANT).alias("reason")),
         F.struct(
             F.when(F.col("mean_auc").isNotNull(), side(high)).alias("bucket"),
-            F.when(high, f"Attack AUC > threshold of {MEAN_AUC}").otherwise(f"Attack AUC <= threshold of {MEAN_AUC}").alias("reason"),
+            F.when(high, HIGH_AUC).otherwise(LOW_AUC).alias("reason"),
         ),
     ]
     return sums.select(key, F.explode(F.array(*reasons)).alias("r")).filter("r.bucket is not null").select(key, "r.bucket", "r.reason")
@@ -92,7 +97,7 @@ def model_recommendation(models: DataFrame, key: str = "target_id") -> DataFrame
     leaf = F.col("min_samples_leaf")
     reasons = F.array(
         F.struct(F.when(named.isNotNull(), "immediate_rejection").alias("bucket"), named.alias("reason")),
-        F.struct(F.when(leaf < MIN_LEAF, "support_rejection").when(leaf >= MIN_LEAF, "support_release").alias("bucket"), F.when(leaf < MIN_LEAF, f"Min samples per leaf < {MIN_LEAF}").otherwise(f"Min samples per leaf > {MIN_LEAF}").alias("reason")),
+        F.struct(F.when(leaf < MIN_LEAF, "support_rejection").when(leaf >= MIN_LEAF, "support_release").alias("bucket"), F.when(leaf < MIN_LEAF, SMALL_LEAF).otherwise(LARGE_LEAF).alias("reason")),
     )
     return models.select(key, F.explode(reasons).alias("r")).filter("r.bucket is not null").select(key, "r.bucket", "r.reason")
 

@@ -517,7 +517,7 @@ def rules_release(spark: SparkSession, sf_dir: str) -> DataFrame:
     saved = params.filter("model_id % 7 <> 0").select("model_id", F.col("keyword").alias("path"), "value")
     changed = rules.differences(now.join(saved.select("model_id").distinct(), "model_id", "left_semi"), saved)
     verdict = rules.release(rules.check(params, rules.shipped_rules(spark)), changed, saved)
-    return verdict.select("model_id", (F.col("recommendation") != "Proceed to release").alias("refused"))
+    return verdict.select("model_id", (F.col("recommendation") != rules.RELEASE).alias("refused"))
 
 
 @query(
