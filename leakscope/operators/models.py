@@ -290,8 +290,9 @@ def private_svms(df: DataFrame, keys: list[str], c: float = 1.0, eps: float = 10
     large = sizes.filter(F.col("n") > most_rows).collect()  # at most the number of rows over most_rows
     out = None
     for key in large:
-        own = lambda df, key=key: df.filter(" AND ".join(f"`{k}` <=> {key[k]!r}" for k in keys))
-        mine = own(rows)
+        mine = rows
+        for k in keys:
+            mine = mine.filter(F.col(k).eqNullSafe(F.lit(key[k])))
         scored = PrivateSVM(c, eps, dhat, gamma, seed).fit(mine).score(mine) if key.labels == [0, 1] else mine.withColumns({"probs": F.lit(None).cast("array<double>"), "prediction": F.lit(None).cast("int")})
         part = scored.select(*keys, "record_id", "probs", "prediction")
         out = part if out is None else out.unionByName(part)

@@ -7,9 +7,9 @@ members have no shadow models.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,20 +18,29 @@ from leakscope.operators import sampling, trees
 from leakscope.session import cut_lineage, small_side
 
 
+def _whole(spark: SparkSession, path: str) -> list[str]:
+    """The folders below path whose write was committed."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return []
+    found = [str(s.getPath().toString()) for s in files.listStatus(folder)]
+    return sorted(f for f in found if files.exists(jvm.org.apache.hadoop.fs.Path(f, "_SUCCESS")))
+
+
 def stored(spark: SparkSession, path: str, n_models: int, compute: Callable[[list[int]], DataFrame]) -> DataFrame:
-    """The confidences of the first n_models shadow models, kept in a table by model_idx: only models not on file are computed.
+    """The confidences of the first n_models shadow models, kept under path: only models not on file are computed.
 
-    compute gives the confidences of the models asked for. A run that was broken off leaves no part
-    of its models behind, as a table write is committed whole.
+    compute gives the confidences of the models asked for; they are written as one folder. A folder
+    that was not written to its end does not count.
     """
-    try:
-        done = {r.model_idx for r in spark.read.parquet(path).select("model_idx").distinct().collect()}  # one row of each model
-    except AnalysisException:
-        done = set()
+    folders = _whole(spark, path)
+    done = {r.model_idx for r in spark.read.parquet(*folders).select("model_idx").distinct().collect()} if folders else set()  # one row of each model
     missing = [i for i in range(n_models) if i not in done]
     if missing:
-        compute(missing).write.mode("append").partitionBy("model_idx").parquet(path)
-    return spark.read.parquet(path).filter(F.col("model_idx") < n_models)
+        compute(missing).write.parquet(f"{path}/{uuid.uuid4().hex}")
+    return spark.read.parquet(*_whole(spark, path)).filter(F.col("model_idx") < n_models)
 
 
 def tree_confidences(records: DataFrame, keys: list[str], n_models: int, max_depth: int, only: list[int] | None = None) -> DataFrame:

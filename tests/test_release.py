@@ -86,6 +86,10 @@ def test_shadow_models_are_taken_up_again(spark, records, tmp_path, monkeypatch)
     two = {tuple(r) for r in shadow.stored(spark, own, 2, compute).select("model_idx", "record_id", "conf").collect()}
     four = {tuple(r) for r in shadow.stored(spark, own, 4, compute).select("model_idx", "record_id", "conf").collect()}
     assert asked == [[0, 1], [2, 3]] and two < four
+    broken = tmp_path / "own" / "broken"  # a write that did not end
+    broken.mkdir()
+    (broken / "part-0.parquet").write_bytes(b"cut off")
+    assert shadow.stored(spark, own, 4, compute).count() == len(four) and len(asked) == 2
     assert four == {tuple(r) for r in shadow.tree_confidences(keyed, ["target_id"], 4, 2).select("model_idx", "record_id", "conf").collect()}
 
 
