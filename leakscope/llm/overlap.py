@@ -83,7 +83,7 @@ def members(records: DataFrame) -> DataFrame:
 
 
 def classes(rows: DataFrame) -> DataFrame:
-    """(class_id, grp, h1, h2, features, size, k, in_train, in_evaluation), one row of identical records; class_id is the smallest record_id.
+    """(class_id, target_id, grp, h1, h2, features, size, k, in_train, in_evaluation), one row of identical records; class_id is the smallest record_id.
 
     Rows are spread by target (hot targets also by hash), so grouping needs no shuffle beyond that one.
     """
@@ -101,7 +101,7 @@ def classes(rows: DataFrame) -> DataFrame:
         F.max(F.col("split") != TRAIN).alias("in_evaluation"),
     )
     size = F.size("features")
-    return grouped.select("class_id", F.xxhash64("target_id", size).alias("grp"), "h1", "h2", "features", size.alias("size"), allowed(size).alias("k"), "in_train", "in_evaluation")
+    return grouped.select("class_id", "target_id", F.xxhash64("target_id", size).alias("grp"), "h1", "h2", "features", size.alias("size"), allowed(size).alias("k"), "in_train", "in_evaluation")
 
 
 # ---------------------------------------------------------------- windows
@@ -216,7 +216,7 @@ _SHARED = "train_class bigint, evaluation_class bigint, run bigint, start int, l
 def _run_starts(table: pa.Table) -> np.ndarray:
     """Whether a row of sorted suffixes begins a run: its common prefix with the row before is shorter than the window."""
     run, length = table.column("run").to_numpy(), table.column("length").to_numpy()
-    suffix = table.column("suffix").combine_chunks()
+    suffix = table.column("suffix").combine_chunks().cast(pa.binary())  # offsets of 32 bits, whatever the session asks Arrow for
     offsets = np.frombuffer(suffix.buffers()[1], np.int32)[suffix.offset : suffix.offset + len(suffix) + 1].astype(np.int64)
     data = np.frombuffer(suffix.buffers()[2], np.uint8) if suffix.buffers()[2] else np.zeros(0, np.uint8)
     new = np.r_[True, run[1:] != run[:-1]]
@@ -365,9 +365,11 @@ def matched_classes(kinds: DataFrame) -> DataFrame:
     places = cut_lineage(windows(kinds))
     pairs = cut_lineage(candidates(kinds, places))
     hint = _hint(pairs)
-    full = kinds.select("class_id", "features")
-    pairs = hint(pairs).join(full.select(F.col("class_id").alias("train_class"), F.col("features").alias("train_features")), "train_class")
-    pairs = hint(pairs).join(full.select(F.col("class_id").alias("evaluation_class"), F.col("features").alias("evaluation_features")), "evaluation_class")
+    for s in ("train", "evaluation"):
+        full = kinds.select(F.col("class_id").alias(f"{s}_class"), F.col("target_id").alias(f"{s}_target"), F.col("features").alias(f"{s}_features"))
+        pairs = hint(pairs).join(full, f"{s}_class")
+    # groups and runs go by hashes: what two of one hash have in common is no pair
+    pairs = pairs.filter((F.col("train_target") == F.col("evaluation_target")) & (F.size("train_features") == F.size("evaluation_features")))
     pairs = pairs.withColumns({"agree": agreeing(F.col("train_features"), F.col("evaluation_features")), "size": F.size("train_features")})
     pairs = pairs.withColumn("n_disagree", F.size(F.filter("agree", lambda x: ~x))).filter(F.col("n_disagree") <= allowed(F.col("size")))
     wrong = F.aggregate("agree", F.array(F.lit(0)), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + F.when(x, 0).otherwise(1))))
