@@ -264,7 +264,7 @@ def member_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "WITH" + MEMBER_SQL + "," + RUNNING_SQL.format(**_MEMBER) + " SELECT target_id, attack_name, CAST(max(total_p) AS BIGINT) AS n_pos, CAST(max(total_n) AS BIGINT) AS n_neg,"
-    " round(CASE WHEN max(total_p) * max(total_n) > 0 THEN sum(n * (cum_p - p / 2)) / (max(total_p) * max(total_n)) END, 6) AS auc FROM running GROUP BY target_id, attack_name"
+    " round(CASE WHEN max(total_p) * max(total_n) > 0 THEN round_even(sum(n * (cum_p - p / 2)) / (max(total_p) * max(total_n)), 8) END, 6) AS auc FROM running GROUP BY target_id, attack_name"
 )
 def m_auc_of_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = ["target_id", "attack_name"]

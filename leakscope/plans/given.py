@@ -320,7 +320,7 @@ _FILLED = (
     " kept AS (SELECT w.target_id, w.attack, r.record_id, r.s1 AS score FROM wanted w JOIN member_runs r ON r.target_id = w.target_id AND r.attack_name = w.attack WHERE r.record_id IS NOT NULL),"
     " rec AS (SELECT DISTINCT target_id, record_id FROM records WHERE target_id IS NOT NULL AND record_id IS NOT NULL),"
     " fresh AS (SELECT w.target_id, w.attack, r.record_id, (r.record_id % 100) / 100 AS score FROM wanted w JOIN rec r ON r.target_id = w.target_id {only}) "
-    "SELECT target_id, attack, CAST(count(*) AS BIGINT) AS n, round(avg(greatest(0, least(1, score))), 6) AS mean FROM {source} GROUP BY ALL"
+    "SELECT target_id, attack, CAST(count(*) AS BIGINT) AS n, round(avg(greatest(0, least(1, score))), 12) AS mean FROM {source} GROUP BY ALL"
 )
 
 
@@ -328,7 +328,7 @@ def _gathered(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
     records = table(spark, sf_dir, "records").filter("target_id is not null and record_id is not null").select("target_id", "record_id").distinct()
     run = lambda runs: runs.join(records, "target_id").withColumns({"is_member": F.lit(1), "score": F.col("record_id") % 100 / F.lit(100.0)})
     scores = meta.gathered(_wanted(spark, sf_dir), _cached(spark, sf_dir), None if mode == "use_existing_only" else run, mode)
-    return rounded(scores.groupBy("target_id", "attack").agg(F.count(F.lit(1)).alias("n"), F.avg(exprs.clip01(F.col("score"))).alias("mean")))
+    return rounded(scores.groupBy("target_id", "attack").agg(F.count(F.lit(1)).alias("n"), F.avg(exprs.clip01(F.col("score"))).alias("mean")), 12)
 
 
 @query(_FILLED.format(only="", source="fresh"))
