@@ -23,6 +23,7 @@ only if their root keys differ.
 from __future__ import annotations
 
 import json
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -99,12 +100,18 @@ def merged_schema(documents: DataFrame, column: str = "document") -> Node:
         yield pd.DataFrame(sorted(known), columns=["path", "kind"])
 
     paths = cut_lineage(documents.select(column).mapInPandas(run, "path string, kind string").distinct())
-    above = F.regexp_extract("path", f"^(.*){_STEP}[^{_STEP}]*$", 1)
-    siblings = paths.filter(~F.col("path").endswith(_STEP + _ITEM) & (F.length("path") > 0)).select("path", above.alias("above")).distinct()
-    wide = siblings.groupBy("above").count().filter(F.col("count") > MAX_KEYS).select("above").limit(MAX_PATHS + 1)
-    for r in wide.collect():  # at most one of MAX_KEYS paths; the first that is wide hides those below it
-        paths = paths.filter(~F.col("path").startswith(r.above + _STEP))
     found = paths.limit(MAX_PATHS + 1).collect()
+    if len(found) > MAX_PATHS:  # too many to look through here: the wide objects are sought where the paths are
+        above = F.regexp_extract("path", f"^(.*){_STEP}[^{_STEP}]*$", 1)
+        siblings = paths.filter(~F.col("path").endswith(_STEP + _ITEM) & (F.length("path") > 0)).select("path", above.alias("above")).distinct()
+        wide = siblings.groupBy("above").count().filter(F.col("count") > MAX_KEYS).select("above").limit(MAX_PATHS + 1)
+        for r in wide.collect():  # at most one of MAX_KEYS paths
+            paths = paths.filter(~F.col("path").startswith(r.above + _STEP))
+        found = paths.limit(MAX_PATHS + 1).collect()
+    else:
+        keys = Counter(p.rpartition(_STEP)[0] for p in {r.path for r in found} if p and not p.endswith(_STEP + _ITEM))
+        wide = tuple(above + _STEP for above, n in keys.items() if n > MAX_KEYS)
+        found = [r for r in found if not r.path.startswith(wide)] if wide else found
     if len(found) > MAX_PATHS:
         raise ValueError(f"more than {MAX_PATHS} paths: keys of these documents are data, make them arrays first")
     root = Node({"object"})

@@ -78,6 +78,9 @@ def test_objects_whose_keys_are_data_stay_text(spark, monkeypatch):
     row = tables[""].filter("id = 7").first()
     assert json.loads(row.a) == {"k7": {"deep": 7}} and row.b_c == 7 and set(tables) == {"", "list"}
     assert json.loads(tables["list"].filter("id = 3").first().m) == {"x3": 1}
+    monkeypatch.setattr(nested, "MAX_PATHS", 50)  # the 125 paths are now looked through by a plan
+    again = nested.flatten(df, ["id"])
+    assert {k: t.columns for k, t in again.items()} == {k: t.columns for k, t in tables.items()} and again[""].filter("id = 7").first() == row
 
 
 def test_regular_sections_lose_nothing():
