@@ -41,11 +41,12 @@ from dataclasses import dataclass
 from difflib import SequenceMatcher
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leakscope.session import BROADCAST_ROWS, broadcast_if_small, cut_lineage
-from leakscope.sources.report_json import attack_spelling, entries, experiments, instances, latest_files, log_id, sections, unwrapped
+from leakscope.sources.report_json import attack_spelling, entries, experiments, instances, json_text, latest_files, log_id, plain, sections, unwrapped
 
 FREE = ("metadata.target_model_params",)
 #: Share of a name's sections in which the listed path must be absent, and the chance that may explain it
@@ -131,7 +132,9 @@ def _profile(value) -> tuple[float | None, float | None, int | None, bool | None
     return min(numbers), max(numbers), decimals, whole, texts
 
 
-_FIELD_NAMES = ("path", "kind", "value", "low", "high", "decimals", "whole", "forms")
+_FIELD_KINDS = {
+    "path": pa.string(), "kind": pa.string(), "value": pa.string(), "low": pa.float64(), "high": pa.float64(), "decimals": pa.int32(), "whole": pa.bool_(), "forms": pa.list_(pa.int64()),
+}
 _FIELD = "struct<path:string,kind:string,value:string,low:double,high:double,decimals:int,whole:boolean,forms:array<bigint>>"
 _SECTION = f"log_id string, attack_name string, log_time string, judged_entries boolean, fingerprint string, fields array<{_FIELD}>"
 
@@ -159,22 +162,30 @@ class Reference:
 def judged_sections(files: DataFrame, reference: Reference) -> DataFrame:
     """One row of every section of a known attack, with its fingerprint and fields."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for payload in frame.payload:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, fields, ends = [], [], [0]
+            for payload in batch.column(0).to_pylist():
                 for key, section in sections(payload):
                     spelling = attack_spelling(key, section)
                     attack = reference.spellings.get((spelling or "").strip().lower())
                     if attack not in reference.listed:
                         continue
                     values, size = section_values(section, reference.listed[attack])
-                    fields = [(p, json_kind(v), json.dumps(v, ensure_ascii=False), *_profile(v)) for p, v in sorted(values.items())]
-                    print_of = hashlib.md5(json.dumps([size > 0, [f[:2] for f in fields]]).encode("utf-8", "surrogatepass")).hexdigest()
-                    rows.append((log_id(key, section), attack, str(section.get("log_time")), size > 0, print_of, [dict(zip(_FIELD_NAMES, f, strict=True)) for f in fields]))
-            yield pd.DataFrame(rows, columns=["log_id", "attack_name", "log_time", "judged_entries", "fingerprint", "fields"])
-
-    return latest_files(files).select("payload").mapInPandas(run, _SECTION)
+                    own = [(plain(p), json_kind(v), json_text(v), *_profile(v)) for p, v in sorted(values.items())]
+                    print_of = hashlib.md5(json.dumps([size > 0, [f[:2] for f in own]]).encode("utf-8", "surrogatepass")).hexdigest()
+                    rows.append((log_id(key, section), attack, plain(str(section.get("log_time"))), size > 0, print_of))
+                    fields += own
+                    ends.append(len(fields))
+            columns = list(zip(*rows, strict=True)) or [()] * 5
+            flat = list(zip(*fields, strict=True)) or [()] * len(_FIELD_KINDS)
+            # the arrays of fields are built column by column: a dictionary of each field would cost more than reading it
+            values = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(flat, _FIELD_KINDS.values(), strict=True)], names=list(_FIELD_KINDS))
+            kinds = (pa.string(), pa.string(), pa.string(), pa.bool_(), pa.string())
+            arrays = [*[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["log_id", "attack_name", "log_time", "judged_entries", "fingerprint", "fields"])
+
+    return latest_files(files).select("payload").mapInArrow(run, _SECTION)
 
 
 # ---------------------------------------------------------------- versions and what the corpus says of names

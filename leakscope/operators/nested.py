@@ -97,7 +97,7 @@ def merged_schema(documents: DataFrame, column: str = "document") -> Node:
                     continue
                 if isinstance(value, dict):
                     _paths(value, "", known)
-        yield pd.DataFrame(sorted(known), columns=["path", "kind"])
+        yield pd.DataFrame(sorted({(path.encode("utf-8", "backslashreplace").decode("utf-8"), kind) for path, kind in known}), columns=["path", "kind"])
 
     paths = cut_lineage(documents.select(column).mapInPandas(run, "path string, kind string").distinct())
     found = paths.limit(MAX_PATHS + 1).collect()

@@ -29,6 +29,21 @@ _NUMBER = re.compile(r"(\d+)$")
 _PARTS = ("metadata", "attack_experiment_logger", "dummy_attack_experiments_logger", "log_time", "status")
 
 
+def plain(text: str | None) -> str | None:
+    """A text that can be written as UTF-8: half signs, which JSON may escape, become their escapes."""
+    return text if text is None else text.encode("utf-8", "backslashreplace").decode("utf-8")
+
+
+def json_text(value) -> str:
+    """JSON that can be written as UTF-8 and loses nothing."""
+    text = json.dumps(value, ensure_ascii=False)
+    try:
+        text.encode("utf-8")
+    except UnicodeEncodeError:
+        return json.dumps(value)
+    return text
+
+
 def parsed(payload: str | None) -> dict | None:
     """The object of a payload, or nothing if it is not whole."""
     try:
@@ -64,14 +79,14 @@ def sections(payload: str | None) -> Iterator[tuple[str | None, dict]]:
 
 def log_id(key: str | None, section: dict) -> str | None:
     own = section.get("log_id")
-    return str(own) if own is not None else key.rpartition("_")[2] if key and "_" in key else key
+    return plain(str(own) if own is not None else key.rpartition("_")[2] if key and "_" in key else key)
 
 
 def attack_spelling(key: str | None, section: dict) -> str | None:
     """The attack as the metadata names it, else as the key does."""
     metadata = unwrapped(section.get("metadata"))
     named = metadata.get("attack_name") if isinstance(metadata, dict) else None
-    return named if isinstance(named, str) else key.rpartition("_")[0] if key and "_" in key else None
+    return plain(named if isinstance(named, str) else key.rpartition("_")[0] if key and "_" in key else None)
 
 
 def _number(name, place: int) -> int:
@@ -189,7 +204,7 @@ def regular_sections(files: DataFrame) -> DataFrame:
             rows = []
             for file_id, name, target, payload in zip(frame.file_id, frame.file_name, frame.target_id, frame.payload, strict=True):
                 for n, (key, section) in enumerate(sections(payload)):
-                    rows.append((file_id, name, target, n, log_id(key, section), attack_spelling(key, section), json.dumps(regular(key, section), ensure_ascii=False)))
+                    rows.append((file_id, name, target, n, log_id(key, section), attack_spelling(key, section), json_text(regular(key, section))))
             out = pd.DataFrame(rows, columns=["file_id", "file_name", "target_id", "section_no", "log_id", "attack_spelling", "document"])
             out["target_id"] = out["target_id"].astype("Int64")
             yield out

@@ -43,6 +43,16 @@ def test_broken_and_empty_payloads(spark):
     assert nested.report_entries(files(spark, [None])).count() == 0
 
 
+def test_half_signs_and_odd_texts_do_not_break_a_file(spark):
+    odd = json.dumps(section("half", params=params(note="a\ud83d\u0000b", **{"k\udc00": 1}), individual=[{"p\ud800": "\udfff", "member_prob": 0.5}]))
+    assert "\\ud83d" in odd
+    payloads = [odd, odd.replace("half", "h\\ud83d")]
+    assert {r[1:] for r in entries_of(spark, payloads)} == {(0, 3, 0)} and len(entries_of(spark, payloads)) == 2
+    found = {(r.field_path, r.change_kind) for r in drift.changes(drifted(spark, payloads)).filter("log_id = 'half'").collect()}
+    assert ("metadata.params.note", "added") in found and len(found) >= 3
+    assert drift.consistent_table(drifted(spark, payloads)).count() == 2 and report_json.entry_scores(files(spark, payloads)).count() == 2
+
+
 def test_files_received_twice(spark):
     twice = files(spark, [json.dumps(section(individual=ENTRY_COLUMNS))])
     assert nested.report_entries(twice.unionByName(twice)).count() == 3
