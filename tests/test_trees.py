@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from leakscope.operators import attribute, equivalence, models, shadow, trees
+from leakscope.operators import attribute, equivalence, models, resampled, shadow, trees
 from leakscope.plans import audit, frames
 from leakscope.session import table
 
@@ -50,6 +50,46 @@ def test_forests_and_shadow_models_of_every_target(records):
     assert {(r.target_id, r.model_idx, r.n_in, r.n) for r in conf} == {(1, 0, 90, 120), (1, 1, 90, 120), (2, 0, 60, 90), (2, 1, 60, 90)}
 
 
+def test_shadow_trees_in_tasks_are_those_from_counts(records, spark):
+    """Many values and few, blocks of models, texts as keys and ids; a key of two widths and one with a label missing are counted."""
+    draw = np.random.default_rng(3)
+    rows = []
+    for i in range(150):
+        x = [float(draw.normal()), float(draw.integers(-30, 30)) / 8, float(draw.integers(3)), 1.0]
+        rows.append((2000 + i, 3, int(i % 5 > 0), int(x[0] + x[1] > 0) + int(x[2] > 1), x))
+    rows += [(3000 + i, 4, int(i % 2), i % 3 % 2, [float(i % 5), float(i % 7)][: 1 + i % 2]) for i in range(40)]
+    rows += [(4000 + i, 5, int(i % 2), None if i == 7 else i % 2, [float(i % 11)]) for i in range(40)]
+    rows += [(5000 + i, 6, 0, 1, [1.0]) for i in range(5)]  # no members, no models
+    some = records.unionByName(spark.createDataFrame(rows, records.schema)).withColumns({"record_id": F.col("record_id").cast("string"), "side": F.lit("a")}).cache()
+    keys = [*KEYS, "side"]
+    given = lambda **limits: {(r.target_id, r.side, r.model_idx, r.record_id): (r.in_train, r.conf) for r in shadow.tree_confidences(some, keys, 6, 4, **limits).collect()}
+    ours = given(task_values=900)
+    assert len(ours) == 6 * (120 + 90 + 150 + 40 + 40)
+    assert ours == given(most_values=0)
+
+
+def test_shadow_models_write_down_no_row_for_each_model(records, monkeypatch):
+    cut, write = [], shadow.cut_lineage
+    monkeypatch.setattr(shadow, "cut_lineage", lambda df: cut.append(write(df)) or cut[-1])
+    assert shadow.tree_confidences(records, KEYS, 20, 4).count() == 20 * 210
+    assert max(df.count() for df in cut) <= 210
+
+
+def test_cuts_of_sorted_values():
+    high = np.nextafter(1.5, 2)
+    above = np.nextafter(high, 2)  # the midpoint of these two is rounded up
+    for values in ([0.0, high, above, above], [-np.inf, -np.inf, np.inf, np.inf], [-1e308, 1.7e308, 1.75e308, 1.75e308], [2.0, 2.0, 2.0, 2.0]):
+        with np.errstate(all="ignore"):
+            distinct = np.unique(values)
+            cuts = (distinct[1:] + distinct[:-1]) / 2
+        below = [sum(c < v for c in cuts) for v in values]  # the bin of trees.grow
+        upper = resampled._upper_cuts(np.array([values]))[0]
+        assert np.concatenate([[0], np.cumsum(upper[1:] != upper[:-1])]).tolist() == np.unique(below, return_inverse=True)[1].tolist()
+    many = np.sort(np.random.default_rng(2).normal(size=100))
+    ranks = many[[math.ceil(i * 100 / 32) - 1 for i in range(1, 32)]]
+    assert resampled._upper_cuts(many[None])[0].tolist() == [min([c for c in ranks if c >= v], default=math.inf) for v in many]
+
+
 def test_attributes_of_every_target_as_one_by_one(spark):
     """Large nodes and few values: no two splits have the same gain, no feature is cut at quantiles, and both libraries choose alike."""
     draw = np.random.default_rng(5)
